@@ -24,54 +24,45 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import NEWER
+from .bpe import NEWER, byte_symbols
 from .common import named_rows, table, written
 
 SEQUENCE = 2048
 END_ID = 0
 #: Blocks in which the ranks of a length are counted.
 BLOCKS = 64
-#: Words remembered, twice over, and characters of the longest one that is.
-WORDS, WORD_CHARS = 250_000, 48
 #: How byte-level vocabularies cut a text before merging; a fixed value.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class ByteCoder:
-    """Ids of texts as little-endian 32-bit numbers; words' ids come from the library and are remembered."""
+    """Ids of texts, by the vocabulary of a byte-level BPE file.
+
+    tiktoken runs the file's merges, as it is the faster; texts with letters that Unicode's
+    versions class differently go to the tokenizers library. Tests hold the two together.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
+        spec = json.loads(Path(path).read_text())
         self.library = Tokenizer.from_file(path)
-        self.special = [t["content"] for t in json.loads(Path(path).read_text()).get("added_tokens", [])]
-        self.word = regex.compile(CUT)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def of(self, word: str) -> bytes:
-        got = self.older.get(word) or self.whole(word)
-        if len(word) <= WORD_CHARS:
-            if len(self.known) >= WORDS:
-                self.known, self.older = {}, self.known
-            self.known[word] = got
-        return got
-
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special) or NEWER.search(text):
-            return self.whole(text)
-        words = self.word.findall(text)
-        got = list(map(self.known.get, words))
-        if None in got:
-            got = [self.of(w) if g is None else g for g, w in zip(got, words, strict=True)]
-        return b"".join(got)
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        of = {c: b for b, c in byte_symbols().items()}
+        ranks = {bytes(of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        self.fast = tiktoken.Encoding("file", pat_str=CUT, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(self, text: str) -> np.ndarray:
+        if not NEWER.search(text):
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all")
+            except ValueError:  # its regex engine gives up on very long runs of white space
+                pass
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 _coders: dict[str, ByteCoder] = {}
@@ -84,12 +75,13 @@ def pieces_of(n: int, size: int) -> list[tuple[int, int]]:
 
 
 def cut_batches(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Iterator[pa.RecordBatch]:
-    c = _coders.setdefault(path, None) or ByteCoder(path)
-    _coders[path] = c
+    if path not in _coders:
+        _coders[path] = ByteCoder(path)
+    c = _coders[path]
     for b in batches:
         at, piece, start, length, crc = [], [], [], [], []
         for i, t in enumerate(b.column("text")):
-            data = memoryview(c.encode(t.as_py() or "") + END_ID.to_bytes(4, "little"))
+            data = memoryview(c.encode(t.as_py() or "").astype("<u4").tobytes() + END_ID.to_bytes(4, "little"))
             for k, (s, n) in enumerate(pieces_of(len(data) // 4, size)):
                 at.append(i)
                 piece.append(k)
