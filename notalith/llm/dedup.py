@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from .common import salted_left_join, table, written
 
-BUCKETS = 64
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -45,10 +44,14 @@ def winners(rows: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """A persistent table (text_sha256, keep_id, keep_row, group_size) bucketed and sorted by digest."""
+    """A persistent table (text_sha256, keep_id, keep_row, group_size) bucketed and sorted by digest.
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    It has as many buckets as the session has shuffle partitions unless told otherwise, so that
+    batches meet it without an exchange on its side.
+    """
+
+    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
+        self.spark, self.buckets = spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
 
     def exists(self) -> bool:
