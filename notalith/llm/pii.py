@@ -177,23 +177,31 @@ def redrawn(docs: DataFrame, key: str = KEY, draws: int = DRAWS) -> DataFrame |
 
 
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with text replaced, and _hits: the entities found with their kind and mention."""
+    """docs with text replaced, and _hits: the entities found with their kind and mention.
+
+    Where entities were redrawn, texts that may have any meet their documents' redrawn ones by
+    a join; all other texts pass by it.
+    """
     fixed = redrawn(docs, key)
-    df = found(docs)
     first = lambda h: replacement(h["kind"], h["canon"], F.lit(0), key)
-    if fixed is not None:
-        df = df.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-        pairs = df.select("_id", F.explode("_hits").alias("h")).select("_id", F.col("h.kind").alias("kind"), F.col("h.canon").alias("canon")).distinct()
-        few = fixed.limit(FEW + 1).count() <= FEW
-        maps = pairs.join(F.broadcast(fixed) if few else fixed, ["kind", "canon"]).groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", "kind", "canon"), "surrogate"))).alias("_map"))
-        df = df.join(maps, "_id", "left").drop("_id")
-        new = lambda h: F.coalesce(F.col("_map")[F.concat_ws("\u0001", h["kind"], h["canon"])], first(h))
-    else:
-        new = first
+    if fixed is None:
+        return filled(found(docs), first)
+    hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
+    df = found(docs.where(hinted)).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    pairs = df.select("_id", F.explode("_hits").alias("h")).select("_id", F.col("h.kind").alias("kind"), F.col("h.canon").alias("canon")).distinct()
+    few = fixed.limit(FEW + 1).count() <= FEW
+    maps = pairs.join(F.broadcast(fixed) if few else fixed, ["kind", "canon"]).groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", "kind", "canon"), "surrogate"))).alias("_map"))
+    df = df.join(maps, "_id", "left").drop("_id")
+    out = filled(df, lambda h: F.coalesce(F.col("_map")[F.concat_ws("\u0001", h["kind"], h["canon"])], first(h))).drop("_map")
+    return out.unionByName(docs.where(~hinted).withColumn("_hits", F.lit(None).cast(out.schema["_hits"].dataType)))
+
+
+def filled(df: DataFrame, new) -> DataFrame:
+    """found() rows with new(hit) laid out in place of each mention."""
     drawn_ = F.transform("_hits", lambda h: F.struct(h["kind"].alias("kind"), h["mention"].alias("mention"), new(h).alias("s")))
     df = df.withColumn("_new", drawn_).withColumn("_new", F.transform("_new", lambda x: laid_out(x["kind"], x["mention"], x["s"])))
     parts = F.transform("_gaps", lambda g, i: F.concat(g, F.coalesce(F.get("_new", i), F.lit(""))))
-    return df.withColumn("text", F.when(F.col("_gaps").isNotNull(), F.array_join(parts, "")).otherwise(F.col("text"))).drop("_gaps", "_new", "_map")
+    return df.withColumn("text", F.when(F.col("_gaps").isNotNull(), F.array_join(parts, "")).otherwise(F.col("text"))).drop("_gaps", "_new")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
