@@ -12,8 +12,11 @@ from ..session import small
 
 def weighted_terms(fields: dict[str, Column], weights: dict[str, float] = WEIGHTS) -> Column:
     """array<struct<term, weight>> of all fields' terms."""
-    parts = [F.transform(tokenize(text), lambda t, w=weights[name]: F.struct(t.alias("term"), F.lit(w).alias("weight"))) for name, text in fields.items()]
-    return F.concat(*parts)
+
+    def weigh(weight: float):
+        return lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight"))
+
+    return F.concat(*[F.transform(tokenize(text), weigh(weights[name])) for name, text in fields.items()])
 
 
 def fields_of_chunk() -> dict[str, Column]:

@@ -28,13 +28,11 @@ NUMBER = re.compile(r"^-?\d+(\.\d+)?$")
 
 
 def split_frontmatter(raw: str) -> tuple[str, str]:
-    """(front matter, body); all body if the front matter does not end."""
-    if raw.startswith("---"):
-        end = raw.find("\n---", 3)
-        if end >= 0:
-            rest = raw[end + 4 :]
-            return raw[3:end].strip("\n"), re.sub(r"^(?:[ \t]*\r?\n)+", "", rest.lstrip(" \t-") if rest[:1] not in ("\n", "\r") else rest)
-    return "", raw
+    """(front matter, body without blank lines before it); all body if the front matter does not end."""
+    end = raw.find("\n---", 3) if raw.startswith("---") else -1
+    if end < 0:
+        return "", raw
+    return raw[3:end].strip(), re.sub(r"^\s*\n", "", raw[end + 4 :])
 
 
 def scalar(raw: str):
@@ -113,7 +111,7 @@ def extract_title(meta: dict, body: str, file: str) -> str:
     if meta.get("title"):
         return meta["title"]
     m = re.search(r"^#\s+(.+)$", body, re.M)
-    return m[1].strip() if m else re.sub(r"\.[^.]*$", "", file.rsplit("/", 1)[-1])
+    return m[1].strip() if m else re.sub(r"(?i)\.(md|markdown)$", "", file.rsplit("/", 1)[-1])
 
 
 def parse_blocks(body: str) -> list[dict]:
@@ -253,7 +251,7 @@ def parse_note(file: str, raw: str, most: int = CHUNK_FILE) -> tuple[str, dict,
     front, body = split_frontmatter(raw)
     meta = parse_frontmatter(front)
     title = extract_title(meta, body, file)
-    shift = raw[: len(raw) - len(body)].count("\n") if front else 0
+    shift = front.count("\n") + 3 if front else 0  # blank lines before the body are not counted
     chunks = chunk_blocks(parse_blocks(body), most)
     for c in chunks:
         c["heading"] = c["heading"] or title
@@ -314,4 +312,4 @@ def title_column(front: Column, body: Column, file: Column) -> Column:
     """extract_title() as a column, for tables whose front matter is at hand."""
     first = lambda text, p: F.regexp_extract(text, p, 1)
     named = F.regexp_replace(F.trim(first(front, r"(?m)^title:\s*(.+)$")), r"^[\"']|[\"']$", "")
-    return F.coalesce(F.when(named != "", named), F.when(first(body, r"(?m)^#\s+(.+)$") != "", F.trim(first(body, r"(?m)^#\s+(.+)$"))), F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"\.[^.]*$", ""))
+    return F.coalesce(F.when(named != "", named), F.when(first(body, r"(?m)^#\s+(.+)$") != "", F.trim(first(body, r"(?m)^#\s+(.+)$"))), F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"(?i)\.(md|markdown)$", ""))
