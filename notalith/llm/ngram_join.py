@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import salted_left_join, table, written
+from .common import discard, release, salted_left_join, table, written
 
 #: Documents whose ids may be broadcast to fetch their texts; more are joined by shuffling.
 FEW = 200_000
@@ -344,8 +344,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs(a, b) with linked: whether the sets are similar, counted on their elements."""
-    left = salted_left_join(pairs, sets.select(F.col("set_id").alias("a"), F.col("elements").alias("x")), "a", F.col("b"))
-    right = salted_left_join(left, sets.select(F.col("set_id").alias("b"), F.col("elements").alias("y")), "b", F.col("a"))
+    # both tables are read as they lie, so a hot set's rows are split by adaptive execution
+    left = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("elements").alias("x")), "a")
+    right = left.join(sets.select(F.col("set_id").alias("b"), F.col("elements").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return right.select("a", "b", (100 * common >= percent * (F.size("x") + F.size("y") - common)).alias("linked"))
 
@@ -384,13 +385,26 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, wide: bool = Fals
     distinct = written(distinct, "distinct-sets")
     if distinct.where("c0 <> c1").take(1):
         raise ValueError("two sets have the same 64-bit hash")
+    sized, whole = written(sized.select("doc_id", "n_shingles", "set_id"), "ids"), sized
+    discard(whole)
+    del whole
     total = distinct.agg(F.sum("size")).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE + 1)
+    release(spark)
     blocks = rows.mapInArrow(lambda b: signed(b, n, percent, wide, ranges), "part int, sigs binary, who binary, ids binary, pairs binary")
-    pairs = blocks.repartition(ranges, "part").select("sigs", "who", "ids", "pairs").mapInArrow(met, "a long, b long").distinct()
-    side = lambda c: distinct.select(F.col("set_id").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"x{c}"))
-    pairs = salted_left_join(salted_left_join(pairs, side("a"), "a", F.col("b")), side("b"), "b", F.col("a"))
-    pairs = written(pairs.mapInArrow(lambda b: near(b, percent), "a long, b long, near boolean"), "pairs")
+    pairs = written(blocks.repartition(ranges, "part").select("sigs", "who", "ids", "pairs").mapInArrow(met, "a long, b long").distinct(), "met")
+    del blocks
+    release(spark)
+    # sizes alone leave out many pairs before sketches are fetched for the rest
+    size = lambda c: distinct.select(F.col("set_id").alias(c), F.col("size").alias(f"n{c}"))
+    fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    pairs = pairs.join(size("a"), "a").join(size("b"), "b").withColumn("fit", fit)
+    cells = lambda c: distinct.select(F.col("set_id").alias(c), F.col("sketch").alias(f"x{c}"))
+    pairs = written(pairs, "sized-pairs")
+    open_ = pairs.where("fit").drop("fit").join(cells("a"), "a").join(cells("b"), "b").mapInArrow(lambda b: near(b, percent), "a long, b long, near boolean")
+    pairs = written(open_.unionByName(pairs.where("NOT fit").select("a", "b", F.lit(False).alias("near"))), "pairs")
+    del open_
+    release(spark)
     exact = written(counted(rows, distinct, pairs.where("near").select("a", "b"), n, percent), "checked")
     links = exact.where("linked").select("a", "b")
     comps = written(components(links), "components")
