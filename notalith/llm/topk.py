@@ -120,8 +120,8 @@ def search(tree: KDTree, queries: np.ndarray, query_ids: np.ndarray, kth: np.nda
         due = np.flatnonzero((place >= a) & (place < a + width))
         due = due[open_(ub[due], tree.least[leaf[due]], q[due])]
         due = due[np.argsort(leaf[due], kind="stable")]
-        starts = np.flatnonzero(np.diff(leaf[due], prepend=-1))
-        for i, j in zip(starts, [*starts[1:], len(due)], strict=True):
+        starts = [*np.flatnonzero(np.diff(leaf[due], prepend=-1)), len(due)]
+        for i, j in zip(starts, starts[1:], strict=False):
             lo, hi = tree.nodes[leaf[due[i]]]
             who = q[due[i:j]]
             s = product(queries[who], tree.points[lo:hi].T)
