@@ -11,16 +11,30 @@ from ..session import small
 from . import ivf
 
 
+#: Queries of a batch that is broadcast; more are dealt into blocks of so many.
+BATCH = 1024
+
+
 def exact(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", int8: bool = False, eligible: DataFrame | None = None) -> DataFrame:
     """(qid, chunk_id, score) of every candidate for every query of queries(qid, vec).
 
-    Queries are a batch that was counted as small; each chunk meets all of it in one pass, as an
-    array, so the rows of the scan are only multiplied where scores leave it.
+    A batch of queries meets each chunk as one array, so rows are only multiplied where scores
+    leave the scan. A batch that a count shows to be small is broadcast; else queries are dealt
+    into blocks and chunks into shards, and each pair of them meets in a task of its own.
     """
-    batch = queries.agg(F.collect_list(F.struct("qid", F.col("vec").alias("q"))).alias("qs"))
     score = (lambda q: asymmetric_cosine(q, F.col("vec"))) if int8 else (lambda q: dot(q, F.col("vec")))
-    rows = chunks.select(F.col(key).alias("chunk_id"), "vec").crossJoin(F.broadcast(batch))
-    out = rows.select("chunk_id", F.explode(F.transform("qs", lambda q: F.struct(q["qid"].alias("qid"), score(q["q"]).alias("score")))).alias("x")).select("x.qid", "chunk_id", "x.score")
+    rows = chunks.select(F.col(key).alias("chunk_id"), "vec").where(F.col("vec").isNotNull())
+    asked = F.collect_list(F.struct("qid", F.col("vec").alias("q"))).alias("qs")
+    n = queries.limit(BATCH + 1).count()
+    if n <= BATCH:
+        met = rows.crossJoin(F.broadcast(queries.agg(asked)))
+    else:
+        blocks = -(-queries.count() // BATCH)
+        shards = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        batches = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).groupBy("block").agg(asked).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        dealt = rows.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+        met = dealt.hint("shuffle_hash").join(batches, ["block", "shard"])
+    out = met.select("chunk_id", F.explode(F.transform("qs", lambda q: F.struct(q["qid"].alias("qid"), score(q["q"]).alias("score")))).alias("x")).select("x.qid", "chunk_id", "x.score")
     return out if eligible is None else out.join(eligible.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_semi")
 
 
@@ -30,7 +44,7 @@ def clustered(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, npr
     near = assigned.join(small(probed), "cluster").select("qid", F.col(key).alias("chunk_id"), dot(F.col("q"), F.col("vec")).alias("score"))
     if not keep_rest:
         return near
-    every = assigned.select(F.col(key).alias("chunk_id")).crossJoin(F.broadcast(queries.select("qid")))
+    every = assigned.select(F.col(key).alias("chunk_id")).crossJoin(small(queries.select("qid")))
     return every.join(near, ["qid", "chunk_id"], "left").fillna({"score": -1.0})
 
 

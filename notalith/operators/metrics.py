@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .places import place
+
 
 def graded(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
     """ranked(qid, doc, rank) with the grade of each document, 0 if it has none."""
@@ -60,6 +62,8 @@ def slices(queries: DataFrame, dev: float = 0.7, test: float = 0.85) -> DataFram
 
 
 def percentile(values: DataFrame, column: str, points: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
-    """One row p50, p95 ...: the value at place floor(p / 100 * n) of the sorted ones."""
-    ranked = values.select(F.col(column).alias("v"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("n"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(column)).alias("r"))
-    return ranked.agg(*[F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * p / 100) + 1, F.col("n")), F.col("v"))).alias(f"p{p}") for p in points])
+    """One row p50, p95 ...: the value at place floor(p / 100 * n), at most the last, of the sorted ones."""
+    n = values.count()
+    at = {p: min(p * n // 100, max(0, n - 1)) for p in points}
+    found = place(values.select(column), column).where(F.col("place").isin(*at.values()))
+    return found.agg(*[F.max(F.when(F.col("place") == at[p], F.col(column))).alias(f"p{p}") for p in points])
