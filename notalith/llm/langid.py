@@ -26,6 +26,8 @@ from .common import table
 
 #: Texts a language that training reads at most, windows it takes of each, and languages at most.
 PER_LANG, TRAIN_WINDOWS, MAX_LANGS = 400, 4, 200
+#: Shares of a language in which its sample is drawn first.
+SPREAD = 32
 WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS, DIM = 16, 12
@@ -140,8 +142,10 @@ def lowered(text: str) -> bytes:
 def train(docs: DataFrame, per_lang: int = PER_LANG, windows: int = TRAIN_WINDOWS) -> ByteCNN:
     """A network fitted on a bounded sample of docs(doc_id, text, lang); rows without either are ignored."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_lang).select("doc_id", "lang")
+    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).withColumn("_s", F.pmod("_h", F.lit(SPREAD)))
+    for by in (("lang", "_s"), ("lang",)):  # first within shares of a language, so that no task sees all of it
+        ids = ids.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "doc_id"))).where(F.col("_r") <= per_lang)
+    ids = ids.select("doc_id", "lang")
     ids = ids.orderBy("lang", "doc_id").limit(per_lang * MAX_LANGS)
     n = F.char_length("text")
     # the windows' characters: from evenly spread places of the text
