@@ -43,7 +43,7 @@ from .common import discard, release, salted_left_join, table, written
 #: Documents whose ids may be broadcast to fetch their texts; more are joined by shuffling.
 FEW = 200_000
 #: Signatures that a task combines before it sends them, and about as many of a range's.
-COMBINE, RANGE = 1 << 22, 1 << 21
+COMBINE, RANGE = 1 << 21, 1 << 21
 #: Sets of a block in which unconnected sets are held against each other.
 BLOCK = 256
 
@@ -195,8 +195,9 @@ def signed(batches: Iterator[pa.RecordBatch], n: int, percent: int, wide: bool,
 
     def flush() -> pa.RecordBatch:
         s, w, ids = np.concatenate(sigs), np.concatenate(who), np.fromiter(seen, np.int64, len(seen))
-        order = np.lexsort((ids[w], s))
+        order = np.argsort(s, kind="stable")
         s, w = s[order], w[order]
+        del order
         start = np.concatenate([[True], s[1:] != s[:-1]])
         first = w[np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))]
         pairs = np.unique(np.stack([first[~start], w[~start]], 1), axis=0) if not start.all() else np.empty((0, 2), np.uint32)
