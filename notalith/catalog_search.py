@@ -312,12 +312,26 @@ def rerank_hook(spark, d):
     return fusion.top(again, 6, F.desc("rerank_score"), F.desc("score"), F.asc("chunk_id")).select("qid", "rank", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
-KEYS = f"""
-WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-w AS (SELECT doc_id, n, line, CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+') THEN 3.0 WHEN n < 3 THEN 1.5 ELSE 1.0 END AS w, {tok('line')} AS ts FROM l),
-e AS (SELECT doc_id, n, w, unnest(ts) AS term, generate_subscripts(ts, 1) AS p FROM w),
-k AS (SELECT doc_id, term, sum(w) AS score, min(n * 1000000 + p) AS first FROM e WHERE length(term) >= 3 AND NOT regexp_full_match(term, '[0-9]+') GROUP BY 1, 2)
-SELECT doc_id, rank, term, score::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first) AS rank FROM k) WHERE rank <= 5"""
+def keys_sql(source: str, most: int) -> str:
+    """CTEs that end in kp(doc_id, rank, term, score): the key phrases of source(doc_id, text)."""
+    return f"""kl AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {source})),
+kw AS (SELECT doc_id, n, line, CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+') THEN 3.0 WHEN n < 3 THEN 1.5 ELSE 1.0 END AS w, {tok('line')} AS ts FROM kl),
+ke AS (SELECT doc_id, n, w, unnest(ts) AS term, generate_subscripts(ts, 1) AS p FROM kw),
+kk AS (SELECT doc_id, term, sum(w) AS score, min(n * 1000000 + p) AS first FROM ke WHERE length(term) >= 3 AND NOT regexp_full_match(term, '[0-9]+') GROUP BY 1, 2),
+kp AS (SELECT doc_id, rank, term, score::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first) AS rank FROM kk) WHERE rank <= {most})"""
+
+
+KEYS = "WITH " + keys_sql("documents", 5) + " SELECT * FROM kp"
+STRIP = r"'^\s+|\s+$', '', 'g'"
+#: Sentences end at white space after a full stop or the like, or at an empty line.
+CLEAN = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^#{{1,6}}\s+.*$', '', 'g'), '```[\s\S]*?```', '', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '[*_`~]', '', 'g'), {STRIP})"
+SENTENCES = rf"list_transform(string_split(regexp_replace(regexp_replace(text, '([.?!])\s+', '\1' || chr(1), 'g'), '\n\n+', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, {STRIP}))"
+SUMMARY = f"""cl AS (SELECT doc_id, {CLEAN} AS text FROM documents), {keys_sql('cl', 8)},
+st AS (SELECT doc_id, list_filter({SENTENCES}, lambda x: length(x) BETWEEN 20 AND 300) AS s FROM cl), tg AS (SELECT doc_id, list(term) AS tags FROM kp GROUP BY 1),
+se AS (SELECT doc_id, unnest(s) AS sent, generate_subscripts(s, 1) AS i, len(s) AS n FROM st),
+sc AS (SELECT se.*, round(0.4 / i + 0.6 * len(list_filter({tok('sent')}, lambda x: list_contains(coalesce(tags, []), x))) / (len({tok('sent')}) + 1), 9) AS score FROM se LEFT JOIN tg USING (doc_id)),
+pk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS r FROM sc),
+sm AS (SELECT doc_id, string_agg(sent, ' ' ORDER BY i) AS summary FROM pk WHERE r <= 2 OR n <= 2 GROUP BY 1)"""
 
 
 @query(KEYS)
@@ -325,17 +339,26 @@ def keyphrase_tags(spark, d):
     return summaries.key_phrases(t(spark, d, "documents"))
 
 
-@query()
+@query("WITH " + SUMMARY + " SELECT doc_id, coalesce(summary, '') AS summary FROM documents LEFT JOIN sm USING (doc_id)")
 def summarize(spark, d):
     return summaries.summaries(t(spark, d, "documents"))
 
 
-@query()
+@query("WITH " + SUMMARY + f""", d5 AS (SELECT doc_id, string_agg(term, ',' ORDER BY rank) AS tags FROM ({KEYS}) GROUP BY 1)
+SELECT doc_id, tags, coalesce(summary, '') AS summary FROM documents LEFT JOIN d5 USING (doc_id) LEFT JOIN sm USING (doc_id)""")
 def analyze_notes(spark, d):
-    return summaries.analyse(t(spark, d, "documents"))
-
-
-@query()
+    return summaries.analyse(t(spark, d, "documents")).withColumn("tags", F.array_join("tags", ","))
+
+
+@query(BM25 + f""", hk AS (SELECT qid, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s),
+hs AS (SELECT qid, rank, score, source AS file, lang AS heading, substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 220) AS text FROM hk JOIN documents ON doc_id = chunk_id WHERE rank <= 5),
+hx AS (SELECT qid, rank, score, concat('[', file, ' › ', heading, ']') AS cite, text, {SENTENCES} AS ss FROM hs), qt AS (SELECT item_id AS qid, {tok('text')} AS terms FROM benchmark),
+su AS (SELECT qid, rank, score, cite, unnest(ss) AS sent, generate_subscripts(ss, 1) AS n FROM hx),
+sf AS (SELECT su.*, len(list_filter({tok('sent')}, lambda x: list_contains(terms, x))) AS found, len({tok('sent')}) AS toks FROM su JOIN qt USING (qid) WHERE length(sent) > 15),
+sp AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(found / (toks + 1) * score, 9) DESC, rank, n) AS place FROM sf WHERE found > 0),
+an AS (SELECT qid, string_agg(sent || ' ' || cite, chr(10) || chr(10) ORDER BY place) AS body FROM sp WHERE place <= 3 GROUP BY 1), ex AS (SELECT qid, string_agg(cite || ': ' || substr(text, 1, 200) || '…', chr(10) || chr(10) ORDER BY rank) AS body FROM hx WHERE rank <= 2 GROUP BY 1)
+SELECT item_id AS qid, CASE WHEN an.body IS NOT NULL THEN 'Based on your notes:' || chr(10) || chr(10) || an.body WHEN ex.body IS NOT NULL THEN 'Relevant excerpts from notes:' || chr(10) || chr(10) || ex.body
+  ELSE 'No relevant passages found in the notes to answer the question.' END AS answer FROM benchmark LEFT JOIN an ON an.qid = item_id LEFT JOIN ex ON ex.qid = item_id""")
 def extractive_answer(spark, d):
     """The best cited sentences for every benchmark passage."""
     from .functions.text import snippet
