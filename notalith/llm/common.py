@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Copies of the small side of a salted join; a key's rows go to so many tasks.
 SALTS = 8
+#: Narrow rows of a file of an intermediate table.
+ROWS_A_FILE = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,14 +36,22 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df, computed once and kept as Parquet in the shared folder; this cuts its lineage."""
+def written(df: DataFrame, tag: str, parts: int | None = None) -> DataFrame:
+    """df, computed once and kept as Parquet in the shared folder; this cuts its lineage.
+
+    Where the rows are known to be few, parts (of parts_for) spares the store many small files.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_for(rows: int) -> int:
+    """Files for so many narrow rows."""
+    return max(1, -(-rows // ROWS_A_FILE))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop shuffle files of plans that nothing holds any more; it waits for a collection of garbage."""
     gc.collect()

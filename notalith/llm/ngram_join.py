@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, release, salted_left_join, table, written
+from .common import discard, parts_for, release, salted_left_join, table, written
 
 #: Documents whose ids may be broadcast to fetch their texts; more are joined by shuffling.
 FEW = 200_000
@@ -325,17 +325,19 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Large and small stars in turn: neighbours are hung on the smallest of them until nothing
     moves. Every round is written, so a lost executor costs one round.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    n = links.count()
+    parts = parts_for(2 * n)  # hanging never makes more edges than there were, and each node's own
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", parts)
     mark = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = salted_left_join(both, low, "u", F.col("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "large-star")
+        large = written(large, "large-star", parts)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = salted_left_join(large, low, "u", F.col("v"))
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, "small-star")
+        edges = written(small, "small-star", parts)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.countDistinct("u")).first()
         if now == mark:
             break
@@ -355,7 +357,7 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def counted(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """checked() for pairs, whose texts are fetched from rows by the least id that has the set."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(distinct.select("set_id", "least"), "set_id").select("set_id", F.coalesce(F.col("least").cast("string"), F.lit("")).alias("_id"))
-    wanted = written(wanted, "wanted-sets")
+    wanted = written(wanted, "wanted-sets", parts_for(2 * pairs.count()))
     few = wanted.limit(FEW + 1).count() <= FEW
     texts = rows.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(F.broadcast(wanted) if few else wanted, "_id").select("set_id", "text")
     # a doc_id that repeats may bring other texts: only the set asked for is kept
@@ -383,10 +385,11 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, wide: bool = Fals
     kind = docs.schema["doc_id"].dataType.simpleString()
     sized = written(rows.mapInArrow(lambda b: measured(b, n), f"doc_id {kind}, n_shingles long, set_id long, check long, sketch binary"), "sized")
     distinct = sized.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n_shingles").alias("size"), F.min("sketch").alias("sketch"))
-    distinct = written(distinct, "distinct-sets")
+    docs_parts = parts_for(sized.count())
+    distinct = written(distinct, "distinct-sets", docs_parts)
     if distinct.where("c0 <> c1").take(1):
         raise ValueError("two sets have the same 64-bit hash")
-    sized, whole = written(sized.select("doc_id", "n_shingles", "set_id"), "ids"), sized
+    sized, whole = written(sized.select("doc_id", "n_shingles", "set_id"), "ids", docs_parts), sized
     discard(whole)
     del whole
     total = distinct.agg(F.sum("size")).first()[0] or 0
@@ -396,22 +399,24 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, wide: bool = Fals
     pairs = written(blocks.repartition(ranges, "part").select("sigs", "who", "ids", "pairs").mapInArrow(met, "a long, b long").distinct(), "met")
     del blocks
     release(spark)
+    met_pairs = pairs.count()
     # sizes alone leave out many pairs before sketches are fetched for the rest
     size = lambda c: distinct.select(F.col("set_id").alias(c), F.col("size").alias(f"n{c}"))
     fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     pairs = pairs.join(size("a"), "a").join(size("b"), "b").withColumn("fit", fit)
     cells = lambda c: distinct.select(F.col("set_id").alias(c), F.col("sketch").alias(f"x{c}"))
-    pairs = written(pairs, "sized-pairs")
+    pair_parts = parts_for(met_pairs)
+    pairs = written(pairs, "sized-pairs", pair_parts)
     open_ = pairs.where("fit").drop("fit").join(cells("a"), "a").join(cells("b"), "b").mapInArrow(lambda b: near(b, percent), "a long, b long, near boolean")
     pairs = written(open_.unionByName(pairs.where("NOT fit").select("a", "b", F.lit(False).alias("near"))), "pairs")
     del open_
     release(spark)
     exact = written(counted(rows, distinct, pairs.where("near").select("a", "b"), n, percent), "checked")
     links = exact.where("linked").select("a", "b")
-    comps = written(components(links), "components")
+    comps = written(components(links), "components", pair_parts)
     # stars whose sets are not in one component
     of = lambda df, c: df.join(comps.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
-    placed = written(of(of(pairs.select("a", "b"), "a"), "b"), "placed")
+    placed = written(of(of(pairs.select("a", "b"), "a"), "b"), "placed", pair_parts)
     stars = placed.groupBy("a").agg(F.count(F.lit(1)).alias("many"), F.max(F.col("ca") != F.col("cb")).alias("open"), F.min("cb").alias("lo"), F.max("cb").alias("hi")).where("open AND many > 1 AND lo <> hi").select("a", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
     members = salted_left_join(placed.select("a", F.col("b").alias("id"), F.col("cb").alias("component")), stars, "a", F.col("id")).where("blocks IS NOT NULL")
     members = members.join(distinct.select(F.col("set_id").alias("id"), "size", "sketch"), "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
@@ -422,11 +427,11 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, wide: bool = Fals
     more = written(more.join(exact.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")
     if more.take(1):
         found = written(counted(rows, distinct, more, n, percent), "checked-across").where("linked").select("a", "b")
-        comps = written(components(links.unionByName(found)), "all-components")
+        comps = written(components(links.unionByName(found)), "all-components", pair_parts)
     # a component's name is the least doc_id of its sets
     named = distinct.select("set_id", "least").join(comps.select(F.col("id").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    joined = written(salted_left_join(named.select("set_id", "component"), least, "component", F.col("set_id")).select("set_id", "component_id"), "named")
+    joined = written(salted_left_join(named.select("set_id", "component"), least, "component", F.col("set_id")).select("set_id", "component_id"), "named", docs_parts)
     out = salted_left_join(sized.select("doc_id", "n_shingles", "set_id"), joined, "set_id", F.col("doc_id"))
     return out.select("doc_id", "n_shingles", "set_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

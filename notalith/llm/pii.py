@@ -15,10 +15,11 @@ replaced alike; other columns have no influence; an empty table gives no rows.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import parts_for, table, written
 
 #: Titles and names by gender and script.
 TITLES = {"f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Madame", "Mme", "госпожа"), "m": ("Mr", "Sir", "Herr", "Señor", "Monsieur", "господин")}
@@ -155,7 +156,8 @@ def found(docs: DataFrame) -> DataFrame:
 def redrawn(docs: DataFrame, key: str = KEY, draws: int = DRAWS) -> DataFrame | None:
     """(kind, canon, surrogate) of the entities that cannot keep their first draw, or None."""
     one = found(docs.select("text")).select(F.explode("_hits").alias("h")).select("h.kind", "h.canon").distinct()
-    new = written(one.withColumn("surrogate", replacement(F.col("kind"), F.col("canon"), F.lit(0), key)), "entities")
+    new = one.withColumn("surrogate", replacement(F.col("kind"), F.col("canon"), F.lit(0), key)).persist(StorageLevel.DISK_ONLY)
+    parts = parts_for(new.count())
     known = new.select("kind", F.col("canon").alias("surrogate"))
 
     def losers(held: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -165,22 +167,26 @@ def redrawn(docs: DataFrame, key: str = KEY, draws: int = DRAWS) -> DataFrame |
         b = fresh.join(held.select("kind", "surrogate").unionByName(known), ["kind", "surrogate"], "left_semi").select("kind", "canon")
         return a.unionByName(b).distinct()
 
-    lost = written(losers(new.limit(0), new), "meeting")
+    lost = losers(new.limit(0), new).persist(StorageLevel.DISK_ONLY)
     if not lost.take(1):
+        lost.unpersist()
+        new.unpersist()
         return None
     settled = new.join(lost, ["kind", "canon"], "left_anti")
     out = None
     for draw in range(1, draws + 1):
         last = draw == draws
         s = replacement(F.col("kind"), F.col("canon"), F.lit(draw), key)
-        fresh = written(lost.withColumn("surrogate", F.concat(s, F.lit("x"), F.sha2(F.concat("kind", "canon"), 256)) if last else s), f"draw-{draw}")
-        lost = written(losers(settled, fresh), "meeting") if not last else fresh.limit(0).select("kind", "canon")
+        fresh = written(lost.withColumn("surrogate", F.concat(s, F.lit("x"), F.sha2(F.concat("kind", "canon"), 256)) if last else s), f"draw-{draw}", parts)
+        lost = written(losers(settled, fresh), "meeting", parts) if not last else fresh.limit(0).select("kind", "canon")
         good = fresh.join(lost, ["kind", "canon"], "left_anti")
         out = good if out is None else out.unionByName(good)
         if last or not lost.take(1):
             break
-        settled = written(settled.select("kind", "canon", "surrogate").unionByName(good.select("kind", "canon", "surrogate")), "settled")
-    return written(out.select("kind", "canon", "surrogate"), "redrawn")
+        settled = written(settled.select("kind", "canon", "surrogate").unionByName(good.select("kind", "canon", "surrogate")), "settled", parts)
+    out = written(out.select("kind", "canon", "surrogate"), "redrawn", parts)
+    new.unpersist()
+    return out
 
 
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
