@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import small_batches, table
 
 #: Words an encoder remembers, and characters of the longest one that it does.
 WORDS, WORD_CHARS = 300_000, 64
@@ -271,6 +271,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
 
 def encode_table(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(lambda b: encode_batches(b, path), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

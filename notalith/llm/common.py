@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SALTS = 8
 #: Narrow rows of a file of an intermediate table.
 ROWS_A_FILE = 50_000
+#: Rows and bytes of a batch of texts.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +49,12 @@ def written(df: DataFrame, tag: str, parts: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of a bounded number of rows and, where Spark knows that setting, of bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def parts_for(rows: int) -> int:
     """Files for so many narrow rows."""
     return max(1, -(-rows // ROWS_A_FILE))

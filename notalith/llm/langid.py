@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: Texts a language that training reads at most, windows it takes of each, and languages at most.
 PER_LANG, TRAIN_WINDOWS, MAX_LANGS = 400, 4, 200
@@ -203,6 +203,7 @@ def classify(batches: Iterator[pa.RecordBatch], net: ByteCNN) -> Iterator[pa.Rec
 
 def identify(docs: DataFrame, net: ByteCNN, columns: list[str]) -> DataFrame:
     """The columns named, and lang_pred and score of every row's whole text."""
+    small_batches(docs.sparkSession)
     src = docs.select(*columns, F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
     return src.mapInArrow(lambda b: classify(b, net), f"{shape}, lang_pred string, score double")

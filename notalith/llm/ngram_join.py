@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, parts_for, release, salted_left_join, table, written
+from .common import discard, parts_for, release, salted_left_join, small_batches, table, written
 
 #: Documents whose ids may be broadcast to fetch their texts; more are joined by shuffling.
 FEW = 200_000
@@ -382,6 +382,7 @@ def owned(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, wide: bool = False) -> DataFrame:
     """doc_id, n_shingles, set_id, component_id of every row of docs(doc_id, text)."""
     spark, rows = docs.sparkSession, docs.select("doc_id", "text")
+    small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     sized = written(rows.mapInArrow(lambda b: measured(b, n), f"doc_id {kind}, n_shingles long, set_id long, check long, sketch binary"), "sized")
     distinct = sized.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n_shingles").alias("size"), F.min("sketch").alias("sketch"))

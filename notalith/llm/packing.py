@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import NEWER, byte_symbols
-from .common import named_rows, table, written
+from .common import named_rows, small_batches, table, written
 
 SEQUENCE = 2048
 END_ID = 0
@@ -140,6 +140,7 @@ def plan_packing(counts: dict[int, int], size: int = SEQUENCE) -> tuple[list[tup
 def pack(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs(doc_id, text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     cut = docs.select("doc_id", "text").mapInArrow(lambda b: cut_batches(b, path, size), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
     cut = written(cut.withColumn("row_no", F.monotonically_increasing_id()).withColumn("block", F.pmod(F.xxhash64("row_no"), F.lit(BLOCKS)).cast("int")), "pieces")
