@@ -9,14 +9,14 @@ agree on some n2 - k2; each such subset of parts, with its contents, is a signat
 are a few groups more than needed, so agreement is certain on several; sets therefore leave
 out near-empty subsets, unless they have them in more groups than the surplus.
 
-Signatures travel in sorted blocks: a task combines its own, sends one row for each range of
-signatures, and the range's task finds the runs. Of a bucket, every set is paired with the
-first. A pair is passed over if the sketches of its sets (a byte for each cell of the domain)
-differ in more cells than similar sets differ in elements; what is left is counted exactly.
-Where a first one and its partners do not all end in one component, sets of different
-components are held against each other in blocks, sketch by sketch, and again only what is
-left leaves the block. So no link between components is lost and no group is expanded into
-pairs.
+Signatures travel in sorted blocks: a task sorts its own, sends one row for each range of
+signatures, and the range's task finds the runs, which are whole buckets. Of a bucket, every
+set is paired with the first. A pair is passed over if the sketches of its sets (a byte for
+each cell of the domain) differ in more cells than similar sets differ in elements; what is
+left is counted exactly. Where a first one and its partners do not all end in one component,
+sets of different components are held against each other in blocks, sketch by sketch, and again
+only what is left leaves the block. So no link between components is lost and no group is
+expanded into pairs.
 
 Identical sets are one set from the start. Words are maximal runs of other than ASCII white
 space, A-Z lowered. Texts of fewer words than n have one shingle; null texts and texts without
@@ -42,7 +42,7 @@ from .common import discard, parts_for, release, salted_left_join, small_batches
 
 #: Documents whose ids may be broadcast to fetch their texts; more are joined by shuffling.
 FEW = 200_000
-#: Signatures that a task combines before it sends them, and about as many of a range's.
+#: Signatures that a task sorts before it sends them, and about as many of a range's.
 COMBINE, RANGE = 1 << 21, 1 << 21
 #: Sets of a block in which unconnected sets are held against each other.
 BLOCK = 256
@@ -181,12 +181,11 @@ def measured(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
 
 
 def signed(batches: Iterator[pa.RecordBatch], n: int, percent: int, wide: bool, ranges: int) -> Iterator[pa.RecordBatch]:
-    """(part, sigs, who, ids, pairs): for each range of signatures those of a block of sets.
+    """(part, sigs, who, ids): for each range of signatures those of a block of sets.
 
     who[i] is the place in ids of the set that signed sigs[i]; all are sorted by sigs. Equal
-    sets are taken once a block, and of those that share a signature in a block only the first
-    sends it on; the others are in pairs, as places in ids. So no signature comes oftener than
-    there are blocks.
+    sets are taken once a block. Every set sends all of its signatures on, as a bucket is whole
+    only where those of all blocks meet.
     """
     seen: dict[int, int] = {}
     sigs: list[np.ndarray] = []
@@ -198,24 +197,18 @@ def signed(batches: Iterator[pa.RecordBatch], n: int, percent: int, wide: bool,
         order = np.argsort(s, kind="stable")
         s, w = s[order], w[order]
         del order
-        start = np.concatenate([[True], s[1:] != s[:-1]])
-        first = w[np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))]
-        pairs = np.unique(np.stack([first[~start], w[~start]], 1), axis=0) if not start.all() else np.empty((0, 2), np.uint32)
-        s, w = s[start], w[start]
         cuts = np.searchsorted((s >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
         rows = []
         for p in range(ranges):
             a, b = cuts[p], cuts[p + 1]
             if b > a:
                 used, at = np.unique(w[a:b], return_inverse=True)
-                rows.append((p, s[a:b].tobytes(), at.astype(np.uint32).tobytes(), ids[used].tobytes(), b""))
-        for i in range(0, len(pairs), RANGE):
-            rows.append((i // RANGE % ranges, b"", b"", b"", ids[pairs[i : i + RANGE]].tobytes()))
+                rows.append((p, s[a:b].tobytes(), at.astype(np.uint32).tobytes(), ids[used].tobytes()))
         seen.clear()
         sigs.clear()
         who.clear()
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "sigs", "who", "ids", "pairs"])
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "sigs", "who", "ids"])
 
     for b in batches:
         for t in b.column("text"):
@@ -239,14 +232,10 @@ def signed(batches: Iterator[pa.RecordBatch], n: int, percent: int, wide: bool,
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b): the sets that share a signature with the first of a bucket, as b, and that first."""
     sigs, ids = [], []
-    shape_ = lambda p: pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
     for batch in batches:
-        for s, w, i, p in zip(*(batch.column(c) for c in ("sigs", "who", "ids", "pairs")), strict=True):
-            if len(p.as_py()):
-                yield shape_(np.frombuffer(p.as_py(), np.int64).reshape(-1, 2))
-            else:
-                sigs.append(np.frombuffer(s.as_py(), np.uint64))
-                ids.append(np.frombuffer(i.as_py(), np.int64)[np.frombuffer(w.as_py(), np.uint32)])
+        for s, w, i in zip(*(batch.column(c) for c in ("sigs", "who", "ids")), strict=True):
+            sigs.append(np.frombuffer(s.as_py(), np.uint64))
+            ids.append(np.frombuffer(i.as_py(), np.int64)[np.frombuffer(w.as_py(), np.uint32)])
     if not sigs:
         return
     s, i = np.concatenate(sigs), np.concatenate(ids)
@@ -257,8 +246,14 @@ def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     start = np.concatenate([[True], s[1:] != s[:-1]])
     first = i[np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))]
     other = first != i
-    if other.any():
-        yield shape_(np.unique(np.stack([first[other], i[other]], 1), axis=0))
+    if not other.any():
+        return
+    a, b = first[other], i[other]
+    del s, i, start, first, other, order
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
 
 
 def near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -396,8 +391,8 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, wide: bool = Fals
     total = distinct.agg(F.sum("size")).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE + 1)
     release(spark)
-    blocks = rows.mapInArrow(lambda b: signed(b, n, percent, wide, ranges), "part int, sigs binary, who binary, ids binary, pairs binary")
-    pairs = written(blocks.repartition(ranges, "part").select("sigs", "who", "ids", "pairs").mapInArrow(met, "a long, b long").distinct(), "met")
+    blocks = rows.mapInArrow(lambda b: signed(b, n, percent, wide, ranges), "part int, sigs binary, who binary, ids binary")
+    pairs = written(blocks.repartition(ranges, "part").select("sigs", "who", "ids").mapInArrow(met, "a long, b long").distinct(), "met")
     del blocks
     release(spark)
     met_pairs = pairs.count()

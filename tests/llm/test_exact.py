@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +191,37 @@ def test_similar_sets_share_a_signature(percent, wide):
                 assert (ngram_join.folded(a, n) != ngram_join.folded(b, n)).sum() <= ngram_join.most_differences(len(x), len(y), percent)
 
 
+def test_sets_of_a_bucket_meet_whatever_their_blocks(monkeypatch):
+    r = random.Random(8)
+    texts = [" ".join(r.choice("ab") + str(i) for i in range(9)) for _ in range(200)]
+    whole = {ngram_join.set_id(x): set(ngram_join.signatures(x, 80, False).tolist()) for x in (ngram_join.shingles(t, 1) for t in texts)}
+    monkeypatch.setattr(ngram_join, "COMBINE", 200)
+    sent = [row for b in ngram_join.signed(iter([pa.RecordBatch.from_pydict({"text": texts})]), 1, 80, False, 3) for row in b.to_pylist()]
+    assert max(Counter(row["part"] for row in sent).values()) > 3
+    stars = defaultdict(set)
+    for part in range(3):
+        for b in ngram_join.met(iter([pa.RecordBatch.from_pylist([row for row in sent if row["part"] == part])])):
+            for pair in b.to_pylist():
+                stars[pair["a"]] |= {pair["a"], pair["b"]}
+    for x, s in whole.items():
+        assert all(any({x, y} <= star for star in stars.values()) for y, t in whole.items() if x != y and s & t)
+
+
+def test_ngram_join_is_exact_across_tasks(spark):
+    r = random.Random(4)
+    rows = []
+    for g in range(6):
+        base = [f"t{g}w{i}" for i in range(10)]
+        for _ in range(40):
+            t = list(base)
+            for at in r.sample(range(10), r.choice([3, 4, 5])):
+                t[at] = f"x{r.randrange(6)}"
+            rows.append((len(rows), " ".join(t)))
+    r.shuffle(rows)
+    got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.ngram_join(docs(spark, rows).repartition(12), 1, 80).collect())
+    assert got == plain_join(rows, 1, 80)
+
+
 def test_ngram_join_drops(spark):
     rows = [(3, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "x y z"), (4, None), (5, None)]
     kept = ngram_join.drop_similar(docs(spark, rows))
