@@ -5,7 +5,8 @@ letters, digits and the signs of base64) are held against a window of fixed widt
 over each: for every character class the window's Shannon entropy follows from counts that
 are raised for the character that enters and lowered for the one that leaves. A candidate is
 a span if some window of its class reaches the class's threshold, unless the allow list
-knows its shape or it overlaps a base span; base spans always stay.
+knows its whole shape or it overlaps a base span; base spans always stay. Windows that touch
+a ruler or a sample word do not count, those beside it do.
 
 Positions are code points from 0, ends exclusive. Null texts are empty. Whole texts are
 scanned. Other columns and repeated rows have no influence; an empty table gives no rows.
@@ -39,16 +40,16 @@ CLASSES = (
     ("entropy_base64", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 4.0),
 )
 WINDOW = 20
-#: Shapes that are no secrets: UUIDs, words and short numbers joined by signs, rulers, samples.
+#: Shapes of whole candidates that are no secrets: UUIDs, words and short numbers joined by signs.
 ALLOW = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^([a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]{1,4})([/_=-]+([a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]{1,4}))*[/_=-]*$",
-    r"(.)\1{7}",
-    r"(?i)example|dummy|placeholder|xxxx|abcdefgh|12345678",
+    r"^(?:[a-z]++|[A-Z][a-z]++|[A-Z]++|[0-9]{1,4}+)(?:[/_=-]++(?:[a-z]++|[A-Z][a-z]++|[A-Z]++|[0-9]{1,4}+))*+[/_=-]*+$",
+)
+#: Rulers and samples: windows that overlap them are no secrets.
+SAMPLE = (
+    r"(?:(?i:example|dummy|placeholder|x{4,}|abcdefgh|12345678)|(.)\1{7,}+)"
+    r"(?:(?<=(.))\2{7,}+|(?i:(?<=e)xample|(?<=d)ummy|(?<=p)laceholder|(?<=a)bcdefgh|(?<=1)2345678))*+"  # what overlaps it
 )
-#: Characters of a candidate that are held against the allow list.
-SHAPE = 128
-
 
 SPAN = "struct<s int, o int, e int, kind string, hit string>"
 KINDS = (*BASE, *(c[0] for c in CLASSES))
@@ -98,12 +99,17 @@ def window_entropy(text: str, alphabet: str, window: int = WINDOW) -> str:
       a -> a.most)"""
 
 
+def beside_samples(hit: str) -> str:
+    """SQL for the pieces of the expression hit whose windows touch no sample; a sample is cut out whole."""
+    return f"split({hit}, r'{SAMPLE}', -1)"
+
+
 def entropy_spans(candidates: str) -> Column:
     """Those of the column of candidate spans that some window of their class gives away."""
-    shape = f"left(x.hit, {SHAPE})"
-    allowed = " OR ".join(f"{shape} RLIKE r'{p}'" for p in ALLOW)
+    allowed = " OR ".join(f"x.hit RLIKE r'{p}'" for p in ALLOW)
     kept = f"filter({candidates}, x -> NOT ({allowed}))"
-    branch = "".join(f" WHEN x.hit RLIKE r'{p}' THEN IF({window_entropy('x.hit' if len(a) > 40 else 'lower(x.hit)', a)} >= {bits}D, '{name}', '')" for name, p, a, bits in CLASSES)
+    most = lambda a: f"array_max(transform({beside_samples('x.hit')}, p -> {window_entropy('p' if len(a) > 40 else 'lower(p)', a)}))"
+    branch = "".join(f" WHEN x.hit RLIKE r'{p}' THEN IF({most(a)} >= {bits}D, '{name}', '')" for name, p, a, bits in CLASSES)
     place = "CASE y.kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END"
     return F.expr(f"""transform(filter(transform({kept}, x -> named_struct('s', x.s, 'e', x.e, 'kind', CASE{branch} END, 'hit', x.hit)), y -> y.kind <> ''),
                       y -> named_struct('s', y.s, 'o', {place}, 'e', y.e, 'kind', y.kind, 'hit', y.hit))""")

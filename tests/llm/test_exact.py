@@ -332,6 +332,16 @@ def test_secrets_are_the_plain_ones(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_secrets_beside_allowed_parts(spark):
+    key, words = "Ab3dEf6hIj9kLmN0pQrStU", "/".join(["path", "to"] * 40)
+    marks = ["-" * 10, "exampleeeeeeee", "eeeeeeeexample", "examplexample", "xxxxx", "Dummy", "A" * 9]
+    hits = [words + "/" + key, "=" * 130 + key, *[m + key for m in marks], *[key + m + "7" for m in marks], "1" + "z" * 50_000 + key, "ab/" * 20_000 + key, "exampl" * 9_000 + "e" + key]
+    clean = ["ab/" * 20_000 + "12", words + "/12", "550e8400-e29b-41d4-a716-446655440000", "Ab3dEf6hIjexample9kLmN0pQrStU", "-" * 130 + "a1", "Ab3dEf6hIj" + "=" * 8 + "9kLmN0pQrStU"]
+    got = {x.doc_id: x.extra for x in secrets.scan(docs(spark, list(enumerate(hits + clean)))).collect()}
+    assert [[(x.s, x.e) for x in got[i]] for i in range(len(hits))] == [[(0, len(t))] for t in hits]
+    assert not any(got[len(hits) + i] for i in range(len(clean)))
+
+
 # personal data
 
 
