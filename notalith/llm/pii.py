@@ -15,6 +15,8 @@ replaced alike; other columns have no influence; an empty table gives no rows.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +50,7 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 KEY = "notalith"
 #: Rows of redrawn entities that may be broadcast; more are joined by shuffling.
 FEW = 50_000
-#: Draws after which entities that still meet others get their number appended, which cannot meet.
+#: Draws after which a round that settles no entity is an error; rounds that settle some go on.
 DRAWS = 12
 
 
@@ -126,8 +128,9 @@ def replacement(kind: Column, canon: Column, draw: Column, key: str = KEY) -> Co
     cyrillic = canon.rlike(r"[а-яё]$")
     chosen = lambda xs, n: F.element_at(F.array(*[F.lit(x) for x in xs]), F.pmod(drawn(h, F.lit(n)), F.lit(len(xs))) + 1)
     family = stream(F.lit("family"), F.regexp_extract(canon, r"[^ -]+$", 0), draw, key)  # one family, one surname
-    syllable = lambda s, n: F.element_at(F.array(*[F.lit(x) for x in SYLLABLES[s]]), F.pmod(drawn(family, F.lit(n)), F.lit(len(SYLLABLES[s]))) + 1)
-    surname = lambda s: F.initcap(F.concat(syllable(s, 1), syllable(s, 2), syllable(s, 3)))
+    # a syllable more each draw, so there are always more surnames than entities in the end
+    more = lambda s: F.array_join(F.transform(F.sequence(F.lit(1), draw + 3), lambda n: F.element_at(F.array(*[F.lit(x) for x in SYLLABLES[s]]), F.pmod(drawn(family, n), F.lit(len(SYLLABLES[s]))) + 1)), "")
+    surname = lambda s: F.initcap(more(s))
     given = F.when((gender == "f") & cyrillic, chosen(GIVEN["f", "cyrillic"], 0)).when(gender == "f", chosen(GIVEN["f", "latin"], 0)).when(cyrillic, chosen(GIVEN["m", "cyrillic"], 0)).otherwise(chosen(GIVEN["m", "latin"], 0))
     last = F.when(cyrillic, surname("cyrillic")).otherwise(surname("latin"))
     full = F.size(F.split(canon, "[ -]")) > 2
@@ -174,14 +177,15 @@ def redrawn(docs: DataFrame, key: str = KEY, draws: int = DRAWS) -> DataFrame |
         return None
     settled = new.join(lost, ["kind", "canon"], "left_anti")
     out = None
-    for draw in range(1, draws + 1):
-        last = draw == draws
-        s = replacement(F.col("kind"), F.col("canon"), F.lit(draw), key)
-        fresh = written(lost.withColumn("surrogate", F.concat(s, F.lit("x"), F.sha2(F.concat("kind", "canon"), 256)) if last else s), f"draw-{draw}", parts)
-        lost = written(losers(settled, fresh), "meeting", parts) if not last else fresh.limit(0).select("kind", "canon")
+    for draw in count(1):
+        if draw > draws and not lost.join(before, ["kind", "canon"], "left_anti").take(1) and lost.count() == before.count():
+            raise ValueError(f"entities are left that have no free surrogate after {draw} draws: the forms of their kind and length are used up")
+        before = lost
+        fresh = written(lost.withColumn("surrogate", replacement(F.col("kind"), F.col("canon"), F.lit(draw), key)), f"draw-{draw}", parts)
+        lost = written(losers(settled, fresh), "meeting", parts)
         good = fresh.join(lost, ["kind", "canon"], "left_anti")
         out = good if out is None else out.unionByName(good)
-        if last or not lost.take(1):
+        if not lost.take(1):
             break
         settled = written(settled.select("kind", "canon", "surrogate").unionByName(good.select("kind", "canon", "surrogate")), "settled", parts)
     out = written(out.select("kind", "canon", "surrogate"), "redrawn", parts)

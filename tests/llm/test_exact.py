@@ -6,6 +6,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import product
 
 import numpy as np
 import public_tokenizers
@@ -391,6 +392,13 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert not {next(iter(v)) for v in got.values()} & set(got)
 
 
+def test_more_surnames_than_three_syllables_make(spark):
+    names = ["".join(x).capitalize() for x in product(("qua", "xo", "zi", "ju", "wy", "phe", "gri", "sto"), repeat=4)] + ["Qua", "Xo"]
+    new = [x.text for x in pii.replace(docs(spark, [(i, f"Mr {n}") for i, n in enumerate(names)])).select("text").collect()]
+    assert len(names) > 4096 and len(set(new)) == len(names)
+    assert all(len(x) < 60 and not any(c.isdigit() for c in x) and x.startswith("Mr ") for x in new)
+
+
 # packing
 
 
