@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; where none is set a temporary one, but on a cluster an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='notalith-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -55,9 +57,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def parts_for(rows: int) -> int:
-    """Files for so many narrow rows."""
-    return max(1, -(-rows // ROWS_A_FILE))
+def parts_for(rows: int, a_file: int = ROWS_A_FILE) -> int:
+    """Files for so many rows, narrow ones unless told otherwise."""
+    return max(1, -(-rows // a_file))
+
+
+def free_name(taken: list[str], *wished: str) -> str | tuple[str, ...]:
+    """Names like those wished for that no column of taken has, whatever its case."""
+    held, out = {c.lower() for c in taken}, []
+    for w in wished:
+        while w.lower() in held:
+            w = f"{w}_"
+        held.add(w.lower())
+        out.append(w)
+    return out[0] if len(out) == 1 else tuple(out)
 
 
 def release(spark: SparkSession) -> None:

@@ -9,21 +9,23 @@ agree on some n2 - k2; each such subset of parts, with its contents, is a signat
 are a few groups more than needed, so agreement is certain on several; sets therefore leave
 out near-empty subsets, unless they have them in more groups than the surplus.
 
-Signatures travel in sorted blocks: a task sorts its own, sends one row for each range of
-signatures, and the range's task finds the runs, which are whole buckets. Of a bucket, every
-set is paired with the first. A pair is passed over if the sketches of its sets (a byte for
-each cell of the domain) differ in more cells than similar sets differ in elements; what is
-left is counted exactly. Where a first one and its partners do not all end in one component,
-sets of different components are held against each other in blocks, sketch by sketch, and again
-only what is left leaves the block. So no link between components is lost and no group is
-expanded into pairs.
+Signatures travel in sorted blocks. Of the sets of a block that share a signature the first
+alone sends it on, one row for each range of signatures, and the others are hung on that first;
+in the range's task the firsts of all blocks are hung on the first of them. So a signature that
+most sets share comes once a block, and a bucket is a tree of two levels. By a join of the
+levels every set of a bucket is then paired with the bucket's own first. A pair is passed over
+if the sketches of its sets (a byte for each cell of the domain) differ in more cells than
+similar sets differ in elements; what is left is counted exactly. Where a first one and its
+partners do not all end in one component, sets of different components are held against each
+other in blocks, sketch by sketch, and again only what is left leaves the block. So no link
+between components is lost and no group is expanded into pairs.
 
 Identical sets are one set from the start. Words are maximal runs of other than ASCII white
 space, A-Z lowered. Texts of fewer words than n have one shingle; null texts and texts without
-words have an empty set, which links with nothing. Rows that repeat a doc_id are rows of their
-own with the same id; null ids are kept, and are the component only of sets without other ids.
-Other columns have no influence; an empty table gives no rows. Sets are known by 64-bit hashes
-of their contents; that two sets meet in one is checked and refused.
+words have an empty set, which links with nothing. Texts are read whole, however long. Rows
+that repeat a doc_id are rows of their own with the same id; null ids are kept, and are the
+component only of sets without other ids. Other columns have no influence; an empty table gives
+no rows. Sets are known by 128-bit hashes of their contents.
 """
 
 from __future__ import annotations
@@ -38,12 +40,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, parts_for, release, salted_left_join, small_batches, table, written
+from .common import discard, free_name, parts_for, release, salted_left_join, small_batches, table, written
 
 #: Documents whose ids may be broadcast to fetch their texts; more are joined by shuffling.
 FEW = 200_000
 #: Signatures that a task sorts before it sends them, and about as many of a range's.
-COMBINE, RANGE = 1 << 21, 1 << 21
+COMBINE, RANGE = 1 << 19, 1 << 20
+#: Pairs of a row, and of a batch that leaves a task.
+PAIRS, LEAVING = 1 << 12, 1 << 16
+#: Sets of a file that has their sketches.
+SKETCHES_A_FILE = 10_000
 #: Sets of a block in which unconnected sets are held against each other.
 BLOCK = 256
 
@@ -53,9 +59,12 @@ _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB),
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them."""
     x = x + _STEP
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= _M1
+    x ^= x >> np.uint64(27)
+    x *= _M2
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -72,7 +81,8 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     x = mix(h[: len(h) - n + 1])
     for i in range(1, n):
         x = mix(x + h[i : len(h) - n + 1 + i])
-    return np.unique(x)
+    x.sort()
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
 @lru_cache(maxsize=None)
@@ -163,64 +173,96 @@ def most_differences(s, t, percent: int):
     return (s + t) * (100 - percent) // (100 + percent)
 
 
-def set_id(x: np.ndarray) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes(), seed=1)))) if len(x) else 0
+def set_key(x: np.ndarray) -> bytes:
+    """The 16 bytes that a set is known by."""
+    return xxhash.xxh3_128_digest(x.tobytes(), seed=1)
+
+
+def binary(keys: np.ndarray) -> pa.Array:
+    """Rows of two numbers as an Arrow array of 16 bytes each."""
+    ends = np.arange(len(keys) + 1, dtype=np.int32) * 16
+    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(keys).tobytes())])
+
+
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the place of each key among them."""
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    inorder = keys[order]
+    new = np.concatenate([[True], (inorder[1:] != inorder[:-1]).any(1)])
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return inorder[new], place
+
+
+def hung(s: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(firsts, their signatures and numbers), (first, other) of each run of equal signatures s of sets numbered r.
+
+    The first of a run is the set with the smallest number; pairs come once.
+    """
+    order = np.lexsort((r, s))
+    s, r = s[order], r[order]
+    del order
+    start = np.concatenate([[True], s[1:] != s[:-1]])
+    first = r[np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))]
+    other = first != r
+    pairs = np.sort(first[other].astype(np.uint64) << np.uint64(32) | r[other].astype(np.uint64))
+    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+    return s[start], r[start], np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.int64)
 
 
 def measured(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_shingles, set_id, check (another hash), sketch of each row."""
+    """doc_id, row_key, n_shingles, set_key, sketch of each row; sets without elements have no key."""
     for b in batches:
-        size, ids, check, cells = [], [], [], []
+        size, keys, cells = [], [], []
         for t in b.column("text"):
             x = shingles(t.as_py(), n)
             size.append(len(x))
-            ids.append(set_id(x))
-            check.append(xxhash.xxh3_64_intdigest(x.tobytes(), seed=2) >> 1)
-            cells.append(sketch(x))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(ids, pa.int64()), pa.array(check, pa.int64()), pa.array(cells, pa.binary())], names=["doc_id", "n_shingles", "set_id", "check", "sketch"])
+            keys.append(set_key(x) if len(x) else None)
+            cells.append(sketch(x) if len(x) else None)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(cells, pa.binary())], names=["doc_id", "row_key", "n_shingles", "set_key", "sketch"])
 
 
 def signed(batches: Iterator[pa.RecordBatch], n: int, percent: int, wide: bool, ranges: int) -> Iterator[pa.RecordBatch]:
-    """(part, sigs, who, ids): for each range of signatures those of a block of sets.
+    """(part, sigs, who, keys, pairs): for each range of signatures those of a block of sets.
 
-    who[i] is the place in ids of the set that signed sigs[i]; all are sorted by sigs. Equal
-    sets are taken once a block. Every set sends all of its signatures on, as a bucket is whole
-    only where those of all blocks meet.
+    who[i] is the place in keys of the set that signed sigs[i]. Equal sets are taken once a
+    block, and of those that share a signature in a block only the first sends it on; the others
+    are in pairs with it, in rows of their own that are dealt over all parts.
     """
-    seen: dict[int, int] = {}
+    seen: dict[bytes, int] = {}
     sigs: list[np.ndarray] = []
     who: list[np.ndarray] = []
     have = 0
 
     def flush() -> pa.RecordBatch:
-        s, w, ids = np.concatenate(sigs), np.concatenate(who), np.fromiter(seen, np.int64, len(seen))
-        order = np.argsort(s, kind="stable")
-        s, w = s[order], w[order]
-        del order
+        keys = np.frombuffer(b"".join(seen), np.uint64).reshape(-1, 2)
+        inorder, place = ranked(keys)
+        s, w, pairs = hung(np.concatenate(sigs), place[np.concatenate(who)])
         cuts = np.searchsorted((s >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
         rows = []
-        for p in range(ranges):
+        for p in np.flatnonzero(np.diff(cuts)):
             a, b = cuts[p], cuts[p + 1]
-            if b > a:
-                used, at = np.unique(w[a:b], return_inverse=True)
-                rows.append((p, s[a:b].tobytes(), at.astype(np.uint32).tobytes(), ids[used].tobytes()))
+            used, at = np.unique(w[a:b], return_inverse=True)
+            rows.append((int(p), s[a:b].tobytes(), at.astype(np.uint32).tobytes(), inorder[used].tobytes(), b""))
+        begin = int(keys[0, 0])
+        for i in range(0, len(pairs), PAIRS):
+            rows.append(((begin + i // PAIRS) % ranges, b"", b"", b"", inorder[pairs[i : i + PAIRS]].tobytes()))
         seen.clear()
         sigs.clear()
         who.clear()
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "sigs", "who", "ids"])
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "sigs", "who", "keys", "pairs"])
 
     for b in batches:
         for t in b.column("text"):
             x = shingles(t.as_py(), n)
-            i = set_id(x)
-            if not len(x) or i in seen:
+            if not len(x) or (key := set_key(x)) in seen:
                 continue
             s = signatures(x, percent, wide)
             if len(s):
                 sigs.append(s)
                 who.append(np.full(len(s), len(seen), np.uint32))
-                seen[i] = len(seen)
+                seen[key] = len(seen)
                 have += len(s)
             if have >= COMBINE:
                 yield flush()
@@ -230,30 +272,27 @@ def signed(batches: Iterator[pa.RecordBatch], n: int, percent: int, wide: bool,
 
 
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): the sets that share a signature with the first of a bucket, as b, and that first."""
-    sigs, ids = [], []
+    """(top, a, b): sets b hung on a first one a, within a block, or with top of blocks' firsts on the bucket's."""
+
+    def out(top: bool, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(pairs), LEAVING):
+            p = pairs[i : i + LEAVING]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), top)), binary(p[:, 0]), binary(p[:, 1])], names=["top", "a", "b"])
+
+    sigs, who, keys, have = [], [], [], 0
     for batch in batches:
-        for s, w, i in zip(*(batch.column(c) for c in ("sigs", "who", "ids")), strict=True):
-            sigs.append(np.frombuffer(s.as_py(), np.uint64))
-            ids.append(np.frombuffer(i.as_py(), np.int64)[np.frombuffer(w.as_py(), np.uint32)])
-    if not sigs:
-        return
-    s, i = np.concatenate(sigs), np.concatenate(ids)
-    sigs.clear()
-    ids.clear()
-    order = np.lexsort((i, s))
-    s, i = s[order], i[order]
-    start = np.concatenate([[True], s[1:] != s[:-1]])
-    first = i[np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))]
-    other = first != i
-    if not other.any():
-        return
-    a, b = first[other], i[other]
-    del s, i, start, first, other, order
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+        for s, w, k, p in zip(*(batch.column(c) for c in ("sigs", "who", "keys", "pairs")), strict=True):
+            if len(p.as_buffer()):
+                yield from out(False, np.frombuffer(p.as_buffer(), np.uint64).reshape(-1, 2, 2))
+            else:
+                sigs.append(np.frombuffer(s.as_py(), np.uint64))
+                who.append(np.frombuffer(w.as_py(), np.uint32) + np.int64(have))
+                keys.append(np.frombuffer(k.as_py(), np.uint64).reshape(-1, 2))
+                have += len(keys[-1])
+    if sigs:
+        inorder, place = ranked(np.concatenate(keys))
+        keys.clear()
+        yield from out(True, inorder[hung(np.concatenate(sigs), place[np.concatenate(who)])[2]])
 
 
 def near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -317,125 +356,132 @@ def across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable by links(a, b), for every id in them.
 
-    Large and small stars in turn: neighbours are hung on the smallest of them until nothing
-    moves. Every round is written, so a lost executor costs one round.
+    Large and small stars in turn: neighbours are hung on the smallest of them until every one
+    hangs on a root. Every round is written, so a lost executor costs one round. Edges that fit
+    one file are read as one partition, so their rounds need no exchange.
     """
     n = links.count()
     parts = parts_for(2 * n)  # hanging never makes more edges than there were, and each node's own
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", parts)
-    mark = None
+    kept = lambda df, tag: written(df, tag, parts).coalesce(parts) if parts == 1 else written(df, tag, parts)
+    edges = kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = salted_left_join(both, low, "u", F.col("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "large-star", parts)
+        large = kept(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = salted_left_join(large, low, "u", F.col("v"))
-        small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, "small-star", parts)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.countDistinct("u")).first()
-        if now == mark:
+        hung_ = salted_left_join(large, low, "u", F.col("v"))
+        small = hung_.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        edges = kept(small, "small-star")
+        # settled: nothing hangs on two, and nothing that others hang on hangs itself
+        roots = edges.select("v").distinct()
+        if edges.count() == edges.select("u").distinct().count() and not roots.join(edges.select(F.col("u").alias("v")), "v", "left_semi").take(1):
             break
-        mark = now
+    else:
+        raise RuntimeError(f"components have not settled in {rounds} rounds")
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
 def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs(a, b) with linked: whether the sets are similar, counted on their elements."""
     # both tables are read as they lie, so a hot set's rows are split by adaptive execution
-    left = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("elements").alias("x")), "a")
-    right = left.join(sets.select(F.col("set_id").alias("b"), F.col("elements").alias("y")), "b")
+    left = pairs.join(sets.select(F.col("set_no").alias("a"), F.col("elements").alias("x")), "a")
+    right = left.join(sets.select(F.col("set_no").alias("b"), F.col("elements").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return right.select("a", "b", (100 * common >= percent * (F.size("x") + F.size("y") - common)).alias("linked"))
 
 
 def counted(rows: DataFrame, distinct: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """checked() for pairs, whose texts are fetched from rows by the least id that has the set."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(distinct.select("set_id", "least"), "set_id").select("set_id", F.coalesce(F.col("least").cast("string"), F.lit("")).alias("_id"))
+    """checked() for pairs, whose texts are fetched from rows by the key of one row that has the set."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_no")).distinct().join(distinct.select("set_no", "set_key", "row_key"), "set_no")
     wanted = written(wanted, "wanted-sets", parts_for(2 * pairs.count()))
     few = wanted.limit(FEW + 1).count() <= FEW
-    texts = rows.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(F.broadcast(wanted) if few else wanted, "_id").select("set_id", "text")
-    # a doc_id that repeats may bring other texts: only the set asked for is kept
-    sets = texts.mapInArrow(lambda b: owned(b, n), "set_id long, elements array<long>").dropDuplicates(["set_id"])
+    texts = rows.join(F.broadcast(wanted) if few else wanted, "row_key").select("set_no", "set_key", "text")
+    # rows that repeat a key bring a set twice, and keys may meet: only the set asked for is kept, once
+    sets = texts.mapInArrow(lambda b: owned(b, n), "set_no long, elements array<long>").dropDuplicates(["set_no"])
     return checked(pairs, written(sets, "sets"), percent)
 
 
 def owned(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """set_id and elements of the rows whose text has the set that they are asked for."""
+    """set_no and elements of the rows whose text has the set that they are asked for."""
     for b in batches:
-        ids, sets = [], []
-        for i, t in zip(b.column("set_id").to_pylist(), b.column("text"), strict=True):
+        numbers, sets = [], []
+        for i, k, t in zip(b.column("set_no").to_pylist(), b.column("set_key").to_pylist(), b.column("text"), strict=True):
             x = shingles(t.as_py(), n)
-            if set_id(x) == i:
-                ids.append(i)
+            if set_key(x) == k:
+                numbers.append(i)
                 sets.append(x.view(np.int64))
         ends = np.cumsum([0, *map(len, sets)])
         flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], names=["set_id", "elements"])
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], names=["set_no", "elements"])
+
+
+def starred(rows: DataFrame, n: int, percent: int, wide: bool, total: int) -> DataFrame:
+    """(a, b): every set that shares a signature with others, as b, beside the first of their bucket, by keys."""
+    ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE + 1)
+    blocks = rows.select("text").mapInArrow(lambda b: signed(b, n, percent, wide, ranges), "part int, sigs binary, who binary, keys binary, pairs binary")
+    hung_ = written(blocks.repartitionById(ranges, "part").drop("part").mapInArrow(met, "top boolean, a binary, b binary"), "met")
+    low, top = hung_.where("NOT top").select("a", "b"), hung_.where("top").select("a", "b")
+    # a block's first that hangs on a bucket's first takes its own sets along
+    along = low.distinct().join(top.select(F.col("a").alias("first"), F.col("b").alias("a")).distinct(), "a").where("first <> b").select(F.col("first").alias("a"), "b")
+    return low.unionByName(top).unionByName(along).distinct()
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, wide: bool = False) -> DataFrame:
-    """doc_id, n_shingles, set_id, component_id of every row of docs(doc_id, text)."""
-    spark, rows = docs.sparkSession, docs.select("doc_id", "text")
+    """doc_id, n_shingles, set_key, component_id of every row of docs(doc_id, text)."""
+    spark = docs.sparkSession
     small_batches(spark)
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sized = written(rows.mapInArrow(lambda b: measured(b, n), f"doc_id {kind}, n_shingles long, set_id long, check long, sketch binary"), "sized")
-    distinct = sized.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n_shingles").alias("size"), F.min("sketch").alias("sketch"))
-    docs_parts = parts_for(sized.count())
-    distinct = written(distinct, "distinct-sets", docs_parts)
-    if distinct.where("c0 <> c1").take(1):
-        raise ValueError("two sets have the same 64-bit hash")
-    sized, whole = written(sized.select("doc_id", "n_shingles", "set_id"), "ids", docs_parts), sized
+    sized = written(rows.mapInArrow(lambda b: measured(b, n), f"doc_id {kind}, row_key long, n_shingles long, set_key binary, sketch binary"), "sized")
+    distinct = sized.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.min("n_shingles").alias("size"), F.min("sketch").alias("sketch"))
+    n_docs = sized.count()
+    distinct = written(distinct.withColumn("set_no", F.monotonically_increasing_id()), "distinct-sets", parts_for(n_docs, SKETCHES_A_FILE))
+    sized, whole = written(sized.select("doc_id", "n_shingles", "set_key"), "ids", parts_for(n_docs)), sized
     discard(whole)
     del whole
     total = distinct.agg(F.sum("size")).first()[0] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE + 1)
-    release(spark)
-    blocks = rows.mapInArrow(lambda b: signed(b, n, percent, wide, ranges), "part int, sigs binary, who binary, ids binary")
-    pairs = written(blocks.repartition(ranges, "part").select("sigs", "who", "ids").mapInArrow(met, "a long, b long").distinct(), "met")
-    del blocks
     release(spark)
-    met_pairs = pairs.count()
+    stars = starred(rows, n, percent, wide, total)
     # sizes alone leave out many pairs before sketches are fetched for the rest
-    size = lambda c: distinct.select(F.col("set_id").alias(c), F.col("size").alias(f"n{c}"))
-    fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    pairs = pairs.join(size("a"), "a").join(size("b"), "b").withColumn("fit", fit)
-    cells = lambda c: distinct.select(F.col("set_id").alias(c), F.col("sketch").alias(f"x{c}"))
-    pair_parts = parts_for(met_pairs)
-    pairs = written(pairs, "sized-pairs", pair_parts)
-    open_ = pairs.where("fit").drop("fit").join(cells("a"), "a").join(cells("b"), "b").mapInArrow(lambda b: near(b, percent), "a long, b long, near boolean")
-    pairs = written(open_.unionByName(pairs.where("NOT fit").select("a", "b", F.lit(False).alias("near"))), "pairs")
-    del open_
+    known = lambda c, o: distinct.select(F.col("set_key").alias(c), F.col("set_no").alias(o), F.col("size").alias(f"n{o}"))
+    fit = F.least("ni", "nj") * 100 >= F.greatest("ni", "nj") * percent
+    pairs = written(stars.join(known("a", "i"), "a").join(known("b", "j"), "b").select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("ni").alias("na"), F.col("nj").alias("nb"), fit.alias("fit")), "sized-pairs")
     release(spark)
-    exact = written(counted(rows, distinct, pairs.where("near").select("a", "b"), n, percent), "checked")
+    pair_parts = parts_for(pairs.count())
+    cells = lambda c: distinct.select(F.col("set_no").alias(c), F.col("sketch").alias(f"x{c}"))
+    near_pairs = written(pairs.where("fit").drop("fit").join(cells("a"), "a").join(cells("b"), "b").mapInArrow(lambda b: near(b, percent), "a long, b long, near boolean").where("near").select("a", "b"), "near-pairs")
+    exact = written(counted(rows, distinct, near_pairs, n, percent), "checked", pair_parts)
     links = exact.where("linked").select("a", "b")
     comps = written(components(links), "components", pair_parts)
     # stars whose sets are not in one component
     of = lambda df, c: df.join(comps.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
     placed = written(of(of(pairs.select("a", "b"), "a"), "b"), "placed", pair_parts)
-    stars = placed.groupBy("a").agg(F.count(F.lit(1)).alias("many"), F.max(F.col("ca") != F.col("cb")).alias("open"), F.min("cb").alias("lo"), F.max("cb").alias("hi")).where("open AND many > 1 AND lo <> hi").select("a", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
-    members = salted_left_join(placed.select("a", F.col("b").alias("id"), F.col("cb").alias("component")), stars, "a", F.col("id")).where("blocks IS NOT NULL")
-    members = members.join(distinct.select(F.col("set_id").alias("id"), "size", "sketch"), "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    open_ = placed.groupBy("a").agg(F.count(F.lit(1)).alias("many"), F.max(F.col("ca") != F.col("cb")).alias("open"), F.min("cb").alias("lo"), F.max("cb").alias("hi")).where("open AND many > 1 AND lo <> hi").select("a", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
+    members = salted_left_join(placed.select("a", F.col("b").alias("id"), F.col("cb").alias("component")), open_, "a", F.col("id")).where("blocks IS NOT NULL")
+    members = members.join(distinct.select(F.col("set_no").alias("id"), "size", "sketch"), "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         F.col("a").alias("star"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "component", "size", "sketch")
     spread = spread.repartition("star", "i", "j").sortWithinPartitions("star", "i", "j")
     more = spread.mapInArrow(lambda b: across(b, percent), "a long, b long").distinct()
-    more = written(more.join(exact.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")
+    more = written(more.join(exact.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "across", pair_parts)
     if more.take(1):
-        found = written(counted(rows, distinct, more, n, percent), "checked-across").where("linked").select("a", "b")
-        comps = written(components(links.unionByName(found)), "all-components", pair_parts)
+        found = written(counted(rows, distinct, more, n, percent), "checked-across", pair_parts).where("linked").select("a", "b")
+        if found.take(1):
+            comps = written(components(links.unionByName(found)), "all-components", pair_parts)
     # a component's name is the least doc_id of its sets
-    named = distinct.select("set_id", "least").join(comps.select(F.col("id").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    named = distinct.select("set_no", "set_key", "least").join(comps.select(F.col("id").alias("set_no"), "component"), "set_no", "left").withColumn("component", F.coalesce("component", "set_no"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    joined = written(salted_left_join(named.select("set_id", "component"), least, "component", F.col("set_id")).select("set_id", "component_id"), "named", docs_parts)
-    out = salted_left_join(sized.select("doc_id", "n_shingles", "set_id"), joined, "set_id", F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", "set_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    joined = written(salted_left_join(named.select("set_key", "component"), least, "component", F.col("set_key")).select("set_key", "component_id"), "named", parts_for(n_docs))
+    out = salted_left_join(sized, joined, "set_key", F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", "set_key", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def drop_similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs without those that a document of a smaller id is linked with, through others or not."""
-    joined = ngram_join(docs, n, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(joined, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    keep, made_up = F.col("doc_id").eqNullSafe(F.col("component_id")), free_name(docs.columns, "keep")
+    joined = ngram_join(docs, n, percent).where(keep).select(F.col("doc_id").alias(made_up)).distinct()
+    return docs.join(joined, F.col("doc_id").eqNullSafe(F.col(made_up)), "left_semi")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

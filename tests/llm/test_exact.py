@@ -195,15 +195,20 @@ def test_similar_sets_share_a_signature(percent, wide):
 def test_sets_of_a_bucket_meet_whatever_their_blocks(monkeypatch):
     r = random.Random(8)
     texts = [" ".join(r.choice("ab") + str(i) for i in range(9)) for _ in range(200)]
-    whole = {ngram_join.set_id(x): set(ngram_join.signatures(x, 80, False).tolist()) for x in (ngram_join.shingles(t, 1) for t in texts)}
+    whole = {ngram_join.set_key(x): set(ngram_join.signatures(x, 80, False).tolist()) for x in (ngram_join.shingles(t, 1) for t in texts)}
     monkeypatch.setattr(ngram_join, "COMBINE", 200)
     sent = [row for b in ngram_join.signed(iter([pa.RecordBatch.from_pydict({"text": texts})]), 1, 80, False, 3) for row in b.to_pylist()]
     assert max(Counter(row["part"] for row in sent).values()) > 3
-    stars = defaultdict(set)
-    for part in range(3):
-        for b in ngram_join.met(iter([pa.RecordBatch.from_pylist([row for row in sent if row["part"] == part])])):
-            for pair in b.to_pylist():
-                stars[pair["a"]] |= {pair["a"], pair["b"]}
+    pairs = [pair for part in range(3) for b in ngram_join.met(iter([pa.RecordBatch.from_pylist([row for row in sent if row["part"] == part])])) for pair in b.to_pylist()]
+    assert {pair["top"] for pair in pairs} == {True, False}
+    above, stars = defaultdict(set), defaultdict(set)
+    for pair in pairs:
+        stars[pair["a"]] |= {pair["a"], pair["b"]}
+        if pair["top"]:
+            above[pair["b"]].add(pair["a"])
+    for pair in pairs:
+        for first in above[pair["a"]] if not pair["top"] else ():  # as starred() does by a join
+            stars[first].add(pair["b"])
     for x, s in whole.items():
         assert all(any({x, y} <= star for star in stars.values()) for y, t in whole.items() if x != y and s & t)
 
