@@ -6,11 +6,13 @@ is a sum of table lookups, a table entry for each byte pair, so batches of windo
 gathers a byte. A text is cut into windows without remainder, never into a prefix, and its
 probabilities are the mean over windows, weighted by window length.
 
-Training reads a bounded, deterministic sample: `per_lang` texts of each language with the
-smallest hashes of doc_id, and `train_windows` windows of each. Null texts and texts without
-letters are `und` with score 0. Rows without lang are not learned from; with no learnable row
-at all every text is `und`. Other columns and repeated rows have no influence; an empty table
-gives an empty result.
+Training reads a bounded, deterministic sample: `per_lang` rows of each language with the
+smallest hashes of doc_id and text, and `windows` windows of each; where per_lang * MAX_LANGS
+rows would be passed, every language has fewer, but none has none. Rows that repeat id, text and
+language are one row of it. Null texts and texts without letters are `und` with score 0. Rows
+without lang are not learned from; with no learnable row at all every text is `und`. Texts are
+classed whole, however long. Other columns have no influence; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-#: Texts a language that training reads at most, windows it takes of each, and languages at most.
+#: Rows a language that training reads at most, windows it takes of each, and languages that may have as many.
 PER_LANG, TRAIN_WINDOWS, MAX_LANGS = 400, 4, 200
 #: Shares of a language in which its sample is drawn first.
 SPREAD = 32
@@ -141,18 +143,17 @@ def lowered(text: str) -> bytes:
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, windows: int = TRAIN_WINDOWS) -> ByteCNN:
     """A network fitted on a bounded sample of docs(doc_id, text, lang); rows without either are ignored."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).withColumn("_s", F.pmod("_h", F.lit(SPREAD)))
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
+    ids = usable.select("lang", "_h").distinct().withColumn("_s", F.pmod("_h", F.lit(SPREAD)))
     for by in (("lang", "_s"), ("lang",)):  # first within shares of a language, so that no task sees all of it
-        ids = ids.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "doc_id"))).where(F.col("_r") <= per_lang)
-    ids = ids.select("doc_id", "lang")
-    ids = ids.orderBy("lang", "doc_id").limit(per_lang * MAX_LANGS)
+        ids = ids.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_h"))).where(F.col("_r") <= per_lang)
+    ids = ids.orderBy("_r", "lang").limit(per_lang * MAX_LANGS).select("lang", "_h")
     n = F.char_length("text")
     # the windows' characters: from evenly spread places of the text
     cut = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: F.substring("text", F.floor(F.greatest(n - WINDOW, F.lit(0)) * i / max(1, windows - 1)).cast("int") + 1, F.lit(WINDOW)))
-    # per_lang * MAX_LANGS pairs of id and lang at most
-    sample = usable.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", F.array_distinct(cut).alias("cuts")).collect()
-    sample.sort(key=lambda r: (r["lang"], str(r["doc_id"]), r["cuts"]))
+    # per_lang * MAX_LANGS rows at most
+    sample = usable.join(F.broadcast(ids), ["lang", "_h"]).select("lang", "_h", F.array_distinct(cut).alias("cuts")).dropDuplicates(["lang", "_h"]).collect()
+    sample.sort(key=lambda r: (r["lang"], r["_h"]))
     classes = sorted({r["lang"] for r in sample})
     x, y = [], []
     for r in sample:
