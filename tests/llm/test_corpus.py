@@ -77,6 +77,29 @@ def test_language_id(spark):
     assert langid.identify(df.limit(0), net, ["doc_id"]).count() == 0
 
 
+def test_sample_is_bounded_and_has_all_languages(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid.ByteCNN, "fit", lambda self, x, y: seen.append((len(x), len(set(y)))) or self)
+    rows = [(7, f"text {'abc'[i % 3]} number {i // 3}", f"l{i % 2}") for i in range(400)] + [(8, "the same row", "l1")] * 200
+    langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), per_lang=20)
+    assert seen.pop() == (40, 2)
+    monkeypatch.setattr(langid, "MAX_LANGS", 2)
+    many = [(i, f"some words {i}", f"l{i % 9}") for i in range(90)]
+    langid.train(spark.createDataFrame(many, "doc_id bigint, text string, lang string"), per_lang=5)
+    assert seen.pop() == (10, 9)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
+def test_languages_held_out(spark):
+    """The registered query: its split, and its accuracy on what it has not learned from."""
+    import zlib
+
+    out = __spark_entry__.queries()["op5_language_id"](spark, str(DATA)).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang", "text"), "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in out)
+    held = [r for r in out if r.held_out and r.lang and any(c.isalpha() for c in r.text or "")]
+    assert len(held) > 20 and np.mean([r.lang == r.lang_pred for r in held]) > 0.9
+
+
 def test_pipeline_stages(spark):
     r = random.Random(3)
     base = labelled(spark, 60).drop("lang_pred", "score").withColumns({"source": F.lit("s"), "n_chars": F.char_length("text").cast("bigint"), "row": F.lit(1), "_hits": F.lit("x")})

@@ -54,7 +54,37 @@ def test_dedup_index_grows(spark):
     second = {r.doc_id: (r.keep_id, r.kept) for r in dedup.exact_dedup(docs(spark, [(3, "a "), (4, "c"), (5, "c")]), index).collect()}
     assert second == {3: (1, False), 4: (4, True), 5: (4, False)}
     assert index.rows().count() == 3
-    spark.sql(f"DROP TABLE {index.name}")
+    index.drop()
+
+
+def test_dedup_batch_can_be_repeated(spark):
+    index, rows = dedup.DigestIndex(spark), docs(spark, [(1, "a"), (2, "b"), (3, " b"), (4, "c d e")])
+    once = sorted(map(tuple, dedup.exact_dedup(rows, index, "monday").select("doc_id", "keep_id", "kept").collect()))
+    assert sorted(map(tuple, dedup.exact_dedup(rows, index, "monday").select("doc_id", "keep_id", "kept").collect())) == once
+    assert index.rows().count() == 3 and once == [(1, 1, True), (2, 3, False), (3, 3, True), (4, 4, True)]
+    assert dedup.exact_dedup(rows, index, "tuesday").where("kept").count() == 0
+    index.drop()
+
+
+def test_dedup_index_is_read_as_it_lies(spark):
+    index = dedup.DigestIndex(spark)
+    index.add(dedup.winners(dedup.digests(docs(spark, [(i, f"t{i}") for i in range(40)]))), "a")
+    best = dedup.winners(dedup.digests(docs(spark, [(i, f"t{i}") for i in range(30, 60)])))
+    new = index.fresh(best, "b")
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    join = plan.index("SortMergeJoin")
+    assert "LeftAnti" in plan[join : plan.index("\n", join)] and new.count() == 20
+    scan = plan.index(f"Scan parquet spark_catalog.default.{index.name}")
+    assert "Exchange" in plan[join:scan]  # the batch's side
+    assert "Exchange" not in plan[plan.rindex("+- Sort", 0, scan) : scan] and "Bucketed: true" in plan[scan:]
+    index.drop()
+
+
+def test_dedup_drops_rows_not_names(spark):
+    rows = [(2, "ab", "x"), (2, "a  b", "y"), (5, "one", "z"), (5, "one", "z"), (None, "n m", "u"), (None, None, "v"), (None, "", "v")]
+    df = spark.createDataFrame([(i, t, c, c, c) for i, t, c in rows], "doc_id bigint, text string, _sha string, sha string, mark string")
+    out = sorted(((r.doc_id, r.text or "", r._sha, r.sha, r.mark) for r in dedup.drop_copies(df).collect()), key=str)
+    assert out == sorted([(2, "a  b", "y", "y", "y"), (5, "one", "z", "z", "z"), (None, "n m", "u", "u", "u"), (None, "", "v", "v", "v")], key=str)
 
 
 # sharding
@@ -380,14 +410,12 @@ def test_surrogates_keep_type_and_reference(spark):
 
 
 def test_surrogates_stay_distinct(spark, monkeypatch):
-    """In a space of few names entities meet, and are drawn anew until none do."""
-    whole = pii.replacement
+    """In a space of few surnames families meet, and are drawn anew until none do."""
 
-    def few(kind, canon, draw, key=pii.KEY):
-        name = F.concat(F.regexp_extract(canon, r"^\S+", 0), F.lit(" N"), F.translate(F.pmod(F.xxhash64(canon, draw), F.lit(60)).cast("string"), "0123456789", "abcdefghij"))
-        return F.when(kind == "name", name).otherwise(whole(kind, canon, draw, key))
+    def few(word, draw, key):
+        return F.concat(F.lit("N"), F.translate(F.pmod(F.xxhash64(word, draw), F.lit(60)).cast("string"), "0123456789", "abcdefghij"))
 
-    monkeypatch.setattr(pii, "replacement", few)
+    monkeypatch.setattr(pii, "surname", few)
     names = [a + b for a in ("Ka", "Lo", "Mi", "Nu", "Po") for b in ("rin", "sen", "tal", "vik")]
     rows = [(i, f"Mr. {n} came") for i, n in enumerate(names * 2)]
     got = defaultdict(set)
@@ -397,6 +425,40 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert not {next(iter(v)) for v in got.values()} & set(got)
 
 
+def test_members_of_a_family_share_its_surname(spark):
+    """More members than there are given names; the family's surname stays through redraws."""
+    given = ["".join(x).capitalize() for x in product(("qua", "xo", "zi", "ju", "wy"), repeat=2)]
+    rows = [(i, f"Mr {n} Abernathy") for i, n in enumerate(given)] + [(100, "Mr Abernathy"), (101, "Mrs Abernathy")]
+    new = {r.doc_id: r.text.split(" ") for r in pii.replace(docs(spark, rows)).collect()}
+    assert len({x[-1] for x in new.values()}) == 1 and "Abernathy" not in new[0]
+    assert len({" ".join(x) for x in new.values()}) == len(rows) and all(len(new[i]) == len(rows[i][1].split()) if i < 100 else len(new[i]) == 2 for i in new)
+
+
+def test_whole_names_go(spark):
+    rows = [(1, "Señora María García López vino"), (2, "Herr Karl von Berg kam"), (3, "Frau Anna Müller-Schmidt geht"), (4, "Mr McDonald and Mr O'Brien met Dr. J. van der Waals."), (5, "no name: mister Smith, Mrs. 5")]
+    new = {r.doc_id: r.text for r in pii.replace(docs(spark, rows)).collect()}
+    for i, private in ((1, "María García López"), (2, "Karl Berg"), (3, "Anna Müller Schmidt"), (4, "McDonald Donald Brien Waals")):
+        assert not [p for p in private.split() if p in new[i]]
+    assert new[2].split()[2] == "von" and new[3].count("-") == 1 and new[1].startswith("Señora ") and new[1].endswith(" vino")
+    assert " van der " in new[4] and "Dr. " in new[4] and new[4].endswith(".") and new[5] == rows[4][1]
+
+
+def test_iban_and_hot_null_ids(spark):
+    valid = "DE89370400440532013000"
+    rows = [(None, f"IBAN {valid} of x{i}@y.example.org.uk.example.com.a.b.c.d.e.f") for i in range(50)]
+    for r in pii.replace(docs(spark, rows)).collect():
+        iban = r.text.split()[1]
+        moved = "".join(str(int(c, 36)) for c in iban[4:] + iban[:4])
+        assert iban != valid and iban[:2] == "DE" and len(iban) == 22 and int(moved) % 97 == 1
+        assert "example.org.uk" not in r.text and r.text.endswith(".f")
+
+
+def test_surrogates_leave_all_columns_alone(spark):
+    odd = spark.createDataFrame([(1, "to a@b.example.com", "h", "g", "r", "p", "n", "m", "i")], "doc_id bigint, text string, hits string, gaps string, row string, pairs string, `new` string, map string, id string")
+    out = pii.replace(odd).first()
+    assert out.asDict() | {"text": ""} == odd.first().asDict() | {"text": ""} and out.text != "to a@b.example.com"
+
+
 def test_more_surnames_than_three_syllables_make(spark):
     names = ["".join(x).capitalize() for x in product(("qua", "xo", "zi", "ju", "wy", "phe", "gri", "sto"), repeat=4)] + ["Qua", "Xo"]
     new = [x.text for x in pii.replace(docs(spark, [(i, f"Mr {n}") for i, n in enumerate(names)])).select("text").collect()]
