@@ -1,13 +1,16 @@
 """Exact top-k inner-product search with a KD-tree in each shard of the candidates.
 
-Components are turned into floor(64 * x). Candidates are dealt into shards and queries into
-blocks, and every pair of a block and a shard is a task. A task builds the shard's tree
-(median splits of the widest dimension, tight boxes), goes down it level by level with the
-bound that a box puts on a query's score, and then visits leaves best first: in each round
-every query goes to its best unvisited boxes, and queries that meet in a box are scored
-together. A box is passed over if its bound is below the query's kth score, or equals it
-when the box holds only larger ids. A first pass over one shard a block gives kth scores that
-the second pass, over all other shards, starts from.
+Components are turned into floor(64 * x). Candidates are dealt into shards by median splits
+fitted on a bounded sample, so that a shard is a region; regions with more rows than a shard
+takes are dealt further by hashing. A shard's tree (median splits of the widest dimension, tight
+boxes) is built once and stored with the shard's own box. A query first goes to the shard with
+the best bound for it, and then, with the kth score found there, to the others whose bounds still
+beat it. In a shard it goes down the tree level by level with the bound that a box puts on its
+score, and then visits leaves best first: in each round every query goes to its best unvisited
+boxes, and queries that meet in a box are scored together. A box is passed over if its bound is
+below the query's kth score, or equals it when the box holds only larger ids. Bounds of queries
+on shards are computed in blocks of both; a pair of a query and a shard is shuffled only if the
+shard is open to the query.
 
 Vectors that are null or hold null or non-finite components take no part. Only vectors of a
 query's own length are its candidates, and no row with the query's id is. Rows that repeat an
@@ -18,6 +21,9 @@ are held at their limits.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +33,10 @@ from pyspark.sql.window import Window
 from .common import table, written
 
 SCALE, TOP, EVERY = 64, 20, 20
-#: Vectors of a shard and of a leaf, and queries of a block.
-SHARD, LEAF, BLOCK = 4096, 64, 1024
+#: Vectors of a shard and of a leaf, queries of a block, and boxes of a block.
+SHARD, LEAF, BLOCK, BOXES = 4096, 64, 1024, 1024
+#: Vectors that splits are fitted on, about, and levels of splits at most.
+SAMPLE, LEVELS = 1 << 14, 10
 NONE = -(1 << 63)
 FOUND = "query_id long, vec_id long, score long"
 
@@ -64,6 +72,42 @@ class KDTree:
         self.box_lo, self.box_hi, self.least = np.array(self.box_lo), np.array(self.box_hi), np.array(self.least)
         self.points, self.ids = points[order], ids[order]
 
+    def stored(self) -> bytes:
+        """The tree as bytes, its numbers in the narrowest type that holds them."""
+        narrow = next((t for t in (np.int16, np.int32, np.int64) if np.abs(self.points).max(initial=0) < np.iinfo(t).max), np.float64)
+        return pickle.dumps({**self.__dict__, "points": self.points.astype(narrow), "box_lo": self.box_lo.astype(narrow), "box_hi": self.box_hi.astype(narrow), "order": None}, 5)
+
+    @classmethod
+    def loaded(cls, data: bytes) -> KDTree:
+        tree = cls.__new__(cls)
+        tree.__dict__ = pickle.loads(data)
+        tree.points, tree.box_lo, tree.box_hi = (x.astype(np.float64) for x in (tree.points, tree.box_lo, tree.box_hi))
+        return tree
+
+
+class Splits:
+    """A full binary tree of splits of space, median ones of a sample; a cell is a leaf."""
+
+    def __init__(self, sample: np.ndarray, levels: int):
+        self.levels, self.dims, self.cuts = levels, np.zeros((1 << levels) - 1, np.int64), np.zeros((1 << levels) - 1)
+        parts = [sample]
+        for node in range(len(self.dims)):
+            p = parts[node]
+            if len(p):
+                self.dims[node] = int((p.max(0) - p.min(0)).argmax())
+                x = p[:, self.dims[node]]
+                self.cuts[node] = np.median(x)
+                parts += [p[x <= self.cuts[node]], p[x > self.cuts[node]]]
+            else:
+                parts += [p, p]
+            parts[node] = None
+
+    def cells(self, points: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(points), np.int64)
+        for _ in range(self.levels):
+            node = 2 * node + 1 + (points[np.arange(len(points)), self.dims[node]] > self.cuts[node])
+        return node - len(self.dims)
+
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b of whole numbers, exactly; in floating point where that is exact."""
@@ -149,12 +193,50 @@ def as_matrix(vectors: pa.ChunkedArray | pa.Array) -> list[tuple[np.ndarray, np.
     return out
 
 
-def search_shard(queries: pa.Table, rows: pa.Table, k: int = TOP) -> pa.Table:
+def in_cells(batches: Iterator[pa.RecordBatch], splits: dict[int, Splits]) -> Iterator[pa.RecordBatch]:
+    """vec_id, embedding, dim and cell of each row; lengths without splits are one cell."""
+    for b in batches:
+        dim, cell = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows, np.int32)
+        for at, m in as_matrix(b.column("embedding")) if b.num_rows else []:
+            dim[at] = m.shape[1]
+            cell[at] = splits[m.shape[1]].cells(m) if m.shape[1] in splits else 0
+        yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array(dim), pa.array(cell)], names=["vec_id", "embedding", "dim", "cell"])
+
+
+def shard_tree(rows: pa.Table) -> pa.Table:
+    """The one row of a shard: its box, smallest id and tree."""
+    key = [rows[c][0].as_py() for c in ("dim", "cell", "part")]
+    (_, points), = as_matrix(rows["embedding"])
+    tree = KDTree(points, rows["vec_id"].to_numpy())
+    number = key[0] << 36 | key[1] << 24 | key[2]
+    return pa.table({"shard": [number], "dim": pa.array([key[0]], pa.int32()), "low": [tree.box_lo[0].tolist()], "high": [tree.box_hi[0].tolist()], "least": [int(tree.least[0])], "tree": [tree.stored()]})
+
+
+def open_shards(queries: pa.Table, boxes: pa.Table, first: bool) -> pa.Table:
+    """(query_id, shard, bound): of a block of queries and one of boxes the best box for each query, or with first unset all but its home that may hold one of its k best."""
+    out = []
+    by_dim = {d: np.flatnonzero(boxes["dim"].to_numpy() == d) for d in np.unique(boxes["dim"].to_numpy())} if boxes.num_rows else {}
+    for at, m in as_matrix(queries["embedding"]) if queries.num_rows else []:
+        mine = by_dim.get(m.shape[1])
+        if mine is None:
+            continue
+        low, high = (np.array(boxes[c].take(mine).to_pylist()) for c in ("low", "high"))
+        shard, least = boxes["shard"].to_numpy()[mine], boxes["least"].to_numpy()[mine]
+        bound = product(np.maximum(m, 0), high.T) + product(np.minimum(m, 0), low.T)
+        if first:
+            q, s = np.arange(len(m)), bound.argmax(1)
+        else:
+            kth, kth_id, home = (queries[c].to_numpy()[at][:, None] for c in ("kth", "kth_id", "home"))
+            q, s = np.nonzero(((bound > kth) | ((bound == kth) & (least < kth_id))) & (shard != home))
+        out.append(pa.table({"query_id": queries["query_id"].to_numpy()[at][q], "shard": shard[s], "bound": bound[q, s]}))
+    return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "shard", "bound")})
+
+
+def search_shard(queries: pa.Table, shards: pa.Table, k: int = TOP) -> pa.Table:
     """What a block of queries finds in a shard."""
     found = []
-    trees = {m.shape[1]: KDTree(m, rows["vec_id"].to_numpy()[at]) for at, m in as_matrix(rows["embedding"])} if rows.num_rows else {}
-    for at, m in as_matrix(queries["embedding"]) if queries.num_rows else []:
-        if (tree := trees.get(m.shape[1])) is not None:
+    for tree in map(KDTree.loaded, shards["tree"].to_pylist() if queries.num_rows else []):
+        for at, m in as_matrix(queries["embedding"]):
             qid = queries["query_id"].to_numpy()[at]
             score, ids = search(tree, m, qid, queries["kth"].to_numpy()[at].copy(), queries["kth_id"].to_numpy()[at].copy(), k)
             real = score > NONE
@@ -162,30 +244,57 @@ def search_shard(queries: pa.Table, rows: pa.Table, k: int = TOP) -> pa.Table:
     return pa.concat_tables(found) if found else pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
 
 
+def fitted(rows: DataFrame, n: int, shard: int) -> dict[int, Splits]:
+    """Splits for each length of vectors, of a sample of about SAMPLE rows."""
+    levels = min(LEVELS, max(0, (-(-n // shard) - 1).bit_length()))
+    if not levels:
+        return {}
+    every = -(-n // SAMPLE)
+    sample = rows.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(every)) == 0).select("embedding").toArrow()
+    return {m.shape[1]: Splits(m, levels) for _, m in as_matrix(sample["embedding"])} if sample.num_rows else {}
+
+
+def build(rows: DataFrame, n: int, shard: int) -> DataFrame:
+    """The stored shards of rows(vec_id, embedding): shard, dim, low, high, least, tree."""
+    splits, kind = fitted(rows, n, shard), rows.schema["embedding"].dataType.simpleString()
+    placed = written(rows.mapInArrow(lambda b: in_cells(b, splits), f"vec_id long, embedding {kind}, dim int, cell int"), "cells")
+    parts = placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("parts"))
+    # rows of a cell are dealt over its parts whatever their ids; the table is written, so numbers of rows stay
+    dealt = placed.withColumn("no", F.monotonically_increasing_id()).join(parts, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("no"), F.col("parts")).cast("int"))
+    shape = "shard long, dim int, low array<double>, high array<double>, least long, tree binary"
+    return written(dealt.select("vec_id", "embedding", "dim", "cell", "part").groupBy("dim", "cell", "part").applyInArrow(shard_tree, shape), "shards")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of vectors(vec_id, embedding) for each of queries, of the same columns."""
     usable = lambda df: df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size("embedding") > 0)).select(F.col("vec_id").cast("long"), "embedding")
     rows, asked = usable(vectors), usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     n, m = rows.count(), asked.count()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-m // block))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    shards = build(rows, n, shard)
+    blocks, box_blocks = max(1, -(-m // block)), max(1, -(-shards.count() // BOXES))
     asked = asked.select(F.col("vec_id").alias("query_id"), "embedding", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
-    home = F.col("block") % shards
+    boxes = shards.select("shard", "dim", "low", "high", "least", F.pmod(F.xxhash64("shard"), F.lit(box_blocks)).cast("int").alias("boxes"))
+
+    def opened(queries: DataFrame, first: bool) -> DataFrame:
+        left = queries.withColumn("boxes", F.explode(F.sequence(F.lit(0), F.lit(box_blocks - 1))))
+        right = boxes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return left.groupBy("block", "boxes").cogroup(right.groupBy("block", "boxes")).applyInArrow(lambda a, b: open_shards(a, b, first), "query_id long, shard long, bound long")
 
-    def pass_over(asked: DataFrame, at_home: bool) -> DataFrame:
-        all_shards, all_blocks = F.sequence(F.lit(0), F.lit(shards - 1)), F.sequence(F.lit(0), F.lit(blocks - 1))
-        left = asked.withColumn("shard", F.explode(F.filter(all_shards, lambda s: (s == home) == F.lit(at_home))))
-        right = rows.withColumn("block", F.explode(F.filter(all_blocks, lambda b: ((b % shards) == F.col("shard")) == F.lit(at_home))))
-        return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(lambda a, b: search_shard(a, b, k), FOUND)
+    def found_in(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """What the queries of pairs(query_id, shard) find in their shards."""
+        left = pairs.join(known, "query_id").select("query_id", "embedding", "block", "kth", "kth_id", "shard")
+        right = shards.select("shard", "tree").join(left.select("shard", F.col("block").alias("asks")).distinct(), "shard").select("shard", "tree", F.col("asks").alias("block"))
+        return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(lambda a, b: search_shard(a, b, k), FOUND)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    unknown = asked.withColumn("kth", F.lit(NONE)).withColumn("kth_id", F.lit(0).cast("long"))
-    first = written(pass_over(unknown, True), "home-shard")
-    if shards > 1:
-        kth = first.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", F.col("score").alias("kth"), F.col("vec_id").alias("kth_id"))
-        known = asked.join(kth, "query_id", "left").fillna({"kth": NONE, "kth_id": 0})
-        first = first.unionByName(pass_over(known, False))
-    return first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    home = opened(asked, True).groupBy("query_id").agg(F.max(F.struct("bound", "shard")).alias("b")).select("query_id", F.col("b.shard").alias("shard"))
+    home = written(home, "home-shards")
+    found = written(found_in(home, asked.withColumn("kth", F.lit(NONE)).withColumn("kth_id", F.lit(0).cast("long"))), "home-found")
+    kth = found.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", F.col("score").alias("kth"), F.col("vec_id").alias("kth_id"))
+    known = written(asked.join(home.withColumnRenamed("shard", "home"), "query_id").join(kth, "query_id", "left").fillna({"kth": NONE, "kth_id": 0}), "known")
+    pairs = written(opened(known, False).select("query_id", "shard"), "open-shards")
+    found = found.unionByName(found_in(pairs, known))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
