@@ -8,8 +8,12 @@ a span if some window of its class reaches the class's threshold, unless the all
 knows its whole shape or it overlaps a base span; base spans always stay. Windows that touch
 a ruler or a sample word do not count, those beside it do.
 
+The same windows give every base span an entropy, which says how random its value is and
+decides nothing.
+
 Positions are code points from 0, ends exclusive. Null texts are empty. Whole texts are
-scanned. Other columns and repeated rows have no influence; an empty table gives no rows.
+scanned, however long. Other columns and repeated rows have no influence; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ CLASSES = (
     ("entropy_base64", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 4.0),
 )
 WINDOW = 20
+#: Matches of a text whose places are summed up together.
+CHUNK = 256
 #: Shapes of whole candidates that are no secrets: UUIDs, words and short numbers joined by signs.
 ALLOW = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
@@ -55,11 +61,18 @@ SPAN = "struct<s int, o int, e int, kind string, hit string>"
 KINDS = (*BASE, *(c[0] for c in CLASSES))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once, where it is used in lambdas that would compute it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def all_spans(text: Column, kind: str, pattern: str) -> Column:
-    """The matches of pattern in order of place, from the lengths of matches and of what lies between."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    both = F.transform(hits, lambda h, i: F.struct(h.alias("hit"), F.char_length(F.get(gaps, i)).alias("gap")))
-    order = F.lit(KINDS.index(kind) if kind in KINDS else 0)
+    """The matches of pattern in order of place, from the lengths of matches and of what lies between.
+
+    Places are summed up chunk by chunk, as an array that grows by one is copied each time.
+    """
+    matches = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda h, g: F.struct(h.alias("hit"), F.char_length(g).alias("gap")))
+    order, none = F.lit(KINDS.index(kind) if kind in KINDS else 0), F.expr(f"cast(array() as array<{SPAN}>)")
 
     def add(a: Column, x: Column) -> Column:
         start = a["at"] + x["gap"]
@@ -67,7 +80,12 @@ def all_spans(text: Column, kind: str, pattern: str) -> Column:
         span = F.struct(start.alias("s"), order.alias("o"), end.alias("e"), F.lit(kind).alias("kind"), x["hit"].alias("hit"))
         return F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out")), add, lambda a: a["out"])
+    def placed(found: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(found) - 1) / CHUNK), F.lit(0)).cast("int")), lambda c: F.slice(found, c * CHUNK + 1, CHUNK))
+        more = lambda a, chunk: bound(F.aggregate(chunk, F.struct(a["at"].alias("at"), none.alias("out")), add), lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+        return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<array<{SPAN}>>)").alias("out")), more, lambda a: F.flatten(a["out"]))
+
+    return bound(F.filter(matches, lambda x: x["hit"].isNotNull()), placed)
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -89,14 +107,14 @@ def window_entropy(text: str, alphabet: str, window: int = WINDOW) -> str:
     """
     term = "array(" + ", ".join(f"{c * log2(c) if c else 0.0!r}D" for c in range(window + 1)) + ")"
     entered = f"a.sum + IF(x.i = x.o, 0D, {term}[a.n[x.i] + 1] - {term}[a.n[x.i]] + IF(x.o < 0, 0D, {term}[a.n[x.o] - 1] - {term}[a.n[x.o]]))"
-    return f"""aggregate(
-      transform(split({text}, ''), (c, k) -> named_struct('k', k, 'i', locate(c, '{alphabet}'), 'o', IF(k < {window}, -1, locate(substring({text}, k - {window} + 1, 1), '{alphabet}')))),
+    return f"""get(transform(array(split({text}, '')), cs -> aggregate(
+      transform(cs, (c, k) -> named_struct('k', k, 'i', locate(c, '{alphabet}'), 'o', IF(k < {window}, -1, locate(get(cs, k - {window}), '{alphabet}')))),
       named_struct('n', array_repeat(0, {len(alphabet) + 1}), 'sum', 0D, 'most', 0D),
       (a, x) -> named_struct(
         'n', transform(a.n, (n, j) -> n + IF(j = x.i, 1, 0) - IF(j = x.o, 1, 0)),
         'sum', {entered},
         'most', IF(x.k < {window - 1}, a.most, greatest(a.most, {log2(window)!r}D - ({entered}) / {window}))),
-      a -> a.most)"""
+      a -> a.most)), 0)"""
 
 
 def beside_samples(hit: str) -> str:
@@ -104,26 +122,41 @@ def beside_samples(hit: str) -> str:
     return f"split({hit}, r'{SAMPLE}', -1)"
 
 
+def most_bits(hit: str, alphabet: str) -> str:
+    """SQL for the largest entropy of a window of the expression hit that touches no sample; 0 where there is no such window."""
+    return f"array_max(transform({beside_samples(hit)}, p -> {window_entropy('p' if len(alphabet) > 40 else 'lower(p)', alphabet)}))"
+
+
+def value_of(span: Column) -> Column:
+    """What a base span holds secret."""
+    return F.when(span["kind"] == "assign", F.regexp_extract(span["hit"], BASE["assign"], 2)).otherwise(span["hit"])
+
+
+def value_bits(values: str) -> Column:
+    """For each of a column of strings the largest window entropy in its own class."""
+    return F.expr(f"transform({values}, y -> CASE {' '.join(f"WHEN y RLIKE r'{p}' THEN {most_bits('y', a)}" for _, p, a, _ in CLASSES)} END)")
+
+
 def entropy_spans(candidates: str) -> Column:
     """Those of the column of candidate spans that some window of their class gives away."""
     allowed = " OR ".join(f"x.hit RLIKE r'{p}'" for p in ALLOW)
     kept = f"filter({candidates}, x -> NOT ({allowed}))"
-    most = lambda a: f"array_max(transform({beside_samples('x.hit')}, p -> {window_entropy('p' if len(a) > 40 else 'lower(p)', a)}))"
-    branch = "".join(f" WHEN x.hit RLIKE r'{p}' THEN IF({most(a)} >= {bits}D, '{name}', '')" for name, p, a, bits in CLASSES)
+    branch = "".join(f" WHEN x.hit RLIKE r'{p}' THEN IF({most_bits('x.hit', a)} >= {bits}D, '{name}', '')" for name, p, a, bits in CLASSES)
     place = "CASE y.kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END"
     return F.expr(f"""transform(filter(transform({kept}, x -> named_struct('s', x.s, 'e', x.e, 'kind', CASE{branch} END, 'hit', x.hit)), y -> y.kind <> ''),
                       y -> named_struct('s', y.s, 'o', {place}, 'e', y.e, 'kind', y.kind, 'hit', y.hit))""")
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base (array of spans), extra (array of spans) of every row of docs(doc_id, text)."""
+    """doc_id, base and extra (arrays of spans), bits (the entropy of each of base) of every row of docs(doc_id, text)."""
     text = F.col("text")
     empty = F.expr(f"cast(array() as array<{SPAN}>)")
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     df = df.select("doc_id", *[base_spans(text, k).alias(k) for k in BASE], F.when(text.rlike(f"[{RUN}]{{20}}"), all_spans(text, "candidate", CANDIDATE)).otherwise(empty).alias("candidates"))
-    df = df.withColumn("base", F.sort_array(F.concat(*BASE)))
+    df = df.withColumn("base", F.sort_array(F.concat(*BASE))).withColumn("values", F.transform("base", value_of))
     free = F.filter(entropy_spans("candidates"), lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return df.select("doc_id", *BASE, "base", F.when(F.size("candidates") > 0, free).otherwise(empty).alias("extra"))
+    bits = F.when(F.size("base") > 0, value_bits("values")).otherwise(F.expr("cast(array() as array<double>)"))
+    return df.select("doc_id", *BASE, "base", F.when(F.size("candidates") > 0, free).otherwise(empty).alias("extra"), bits.alias("bits"))
 
 
 def listed(spans: Column) -> Column:
@@ -131,6 +164,8 @@ def listed(spans: Column) -> Column:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the contract, the number of spans that entropy adds, and the base spans' entropies in bits, in their order."""
     df = scan(table(spark, sf_dir, "documents"))
     return df.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-                     listed(F.sort_array(F.concat("base", "extra"))).alias("spans"))
+                     listed(F.sort_array(F.concat("base", "extra"))).alias("spans"), F.size("extra").cast("long").alias("n_entropy"), F.transform("bits", lambda x: F.round(x, 3)).alias("bits"))
+

@@ -330,40 +330,72 @@ def test_top_k_bounds_are_tight():
 # secrets
 
 
-def plain_spans(text):
+def plain_windows(value):
+    """(name, largest entropy of 20 characters that touch no sample), by counting every window anew."""
     import math
     import re
 
+    if re.fullmatch("[0-9A-Fa-f]+", value):
+        name, value = "entropy_hex", value.lower()
+    elif re.fullmatch("[0-9A-Z]+|[0-9a-z]+", value):
+        name, value = "entropy_base36", value.lower()
+    else:
+        name = "entropy_base64"
+    taken = set()
+    for p in ("example", "dummy", "placeholder", "xxxx", "abcdefgh", "12345678"):
+        for i in range(len(value)):
+            if value[i : i + len(p)].lower() == p:
+                taken |= set(range(i, i + len(p)))
+    for i in range(len(value) - 7):
+        if len(set(value[i : i + 8])) == 1:
+            taken |= set(range(i, i + 8))
+    free = [value[j : j + 20] for j in range(len(value) - 19) if not taken & set(range(j, j + 20))]
+    return name, max((-sum(c / 20 * math.log2(c / 20) for c in Counter(w).values()) for w in free), default=0.0)
+
+
+def plain_spans(text):
+    """What the contract and the module's docstring say, with patterns of its own."""
+    import re
+
     text, base, extra = text or "", [], []
-    for o, (k, p) in enumerate(secrets.BASE.items()):
-        for m in re.finditer(p, text, re.A):
-            if len(m[2] if k == "assign" else m[0]) >= secrets.LEAST[k]:
-                base.append((m.start(), o, m.end(), k))
+    for m in re.finditer(r"((?:(?i:password|passwd|secret|token|apikey|api_key)))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text):
+        if len(m[2]) >= 6:
+            base.append((m.start(), 0, m.end(), "assign", m[2]))
+    base += [(m.start(), 1, m.end(), "access", m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    base += [(m.start(), 2, m.end(), "hex", m[0]) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
     base.sort()
-    w = secrets.WINDOW
-    for m in re.finditer(secrets.CANDIDATE, text, re.A):
-        if any(re.search(p, m[0][: secrets.SHAPE]) for p in secrets.ALLOW) or any(s < m.end() and m.start() < e for s, _, e, _ in base):
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        run = m[0]
+        if len(run) < 20 or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run) or any(s < m.end() and m.start() < e for s, _, e, _, _ in base):
+            continue
+        if re.fullmatch("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", run):
+            continue
+        words = [w for w in re.split("[/_=-]+", run)]
+        if words[0] and all(re.fullmatch("[a-z]+|[A-Z][a-z]+|[A-Z]+|[0-9]{1,4}|", w) for w in words):
             continue
-        for i, (name, p, alphabet, bits) in enumerate(secrets.CLASSES):
-            if re.search(p, m[0]):
-                h = m[0] if len(alphabet) > 40 else m[0].lower()
-                if max(-sum(c / w * math.log2(c / w) for c in Counter(h[j : j + w]).values()) for j in range(len(h) - w + 1)) >= bits:
-                    extra.append((m.start(), 3 + i, m.end(), name))
-                break
-    listed = lambda spans: ",".join(f"{k}:{s}:{e}" for s, _, e, k in spans)
-    return [sum(b[3] == k for b in base) for k in secrets.BASE], hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(base + extra))
+        name, bits = plain_windows(run)
+        if bits >= {"entropy_hex": 3.0, "entropy_base36": 3.7, "entropy_base64": 4.0}[name] - 1e-12:
+            extra.append((m.start(), 3, m.end(), name))
+    listed = lambda spans: ",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in spans)
+    return [sum(x[3] == k for x in base) for k in ("assign", "access", "hex")], hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted([*base, *extra])), [plain_windows(x[4])[1] for x in base], len(extra)
 
 
 def test_secrets_are_the_plain_ones(spark):
     r = random.Random(5)
     parts = ["password", "TOKEN", "api_key", "secret", " ", "=", ":", '"', "abc", "AKIA", "ABCDEF0123456789", "deadbeef01", "0123456789abcdef", "xyZ9_k/", "é", "😀", "\n", "secret=token: abcdefgh", "Ab3dEf6hIj9kLmN0pQrStU", "q7w8e9r1t2y3u4i5o6p7a8", "the word", "550e8400-e29b-41d4-a716-446655440000", "aaaaaaaaaaaaaaaaaaaaaaaa1", "F00DBABE12CAFE9876D1"]
     rows = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 25)))) for i in range(400)] + [(1000, None), (1001, ""), (1002, "a" * 100_000), (1003, "ab cd " * 20_000)]
+    rows += [(2000 + i, " ".join("".join(r.choice(a) for _ in range(r.randint(18, 44))) for a in ("0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHabcdefgh0123456789+/", "aA1-")) + " secret: " + "".join(r.choice("abcXYZ012.") for _ in range(30))) for i in range(60)]
+    rows += [(3000, "key deadbeefdeadbeefdeadbeef and Ab3dEf6hIj9kLmN0pQrStU " * 3_000)]
     found = secrets.scan(docs(spark, rows))
-    got = {x.doc_id: x for x in found.select("doc_id", *[F.size(k).alias(k) for k in secrets.BASE], F.sha2(secrets.listed(F.col("base")).cast("binary"), 256).alias("sha"), secrets.listed(F.sort_array(F.concat("base", "extra"))).alias("spans")).collect()}
+    kinds = ("assign", "access", "hex")
+    got = {x.doc_id: x for x in found.select("doc_id", *[F.size(k).alias(k) for k in kinds], F.sha2(secrets.listed(F.col("base")).cast("binary"), 256).alias("sha"), secrets.listed(F.sort_array(F.concat("base", "extra"))).alias("spans"), "bits", F.size("extra").alias("extra")).collect()}
     for i, t in rows:
-        n, sha, spans = plain_spans(t)
-        assert ([got[i][k] for k in secrets.BASE], got[i].sha, got[i].spans) == (n, sha, spans)
-    assert any("entropy" in x.spans for x in got.values()) and secrets.scan(docs(spark, [])).count() == 0
+        n, sha, spans, bits, extra = plain_spans(t)
+        assert ([got[i][k] for k in kinds], got[i].sha, got[i].spans, got[i].extra) == (n, sha, spans, extra)
+        assert got[i].bits == pytest.approx(bits, abs=1e-9)
+    for kind in ("entropy_hex", "entropy_base36", "entropy_base64"):
+        assert any(kind in x.spans for x in got.values())
+    assert got[3000].extra == 3_000 and secrets.scan(docs(spark, [])).count() == 0
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
