@@ -305,7 +305,7 @@ def filled(df: DataFrame, map_: Column | None, key: str) -> DataFrame:
 
     drawn_ = F.transform("hits", lambda h: F.struct(h["kind"].alias("kind"), h["mention"].alias("mention"), new(h).alias("s")))
     df = df.withColumn("new", drawn_).withColumn("new", F.transform("new", lambda x: laid_out(x["kind"], x["mention"], x["s"])))
-    parts = F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.get("new", i), F.lit(""))))
+    parts = F.zip_with("gaps", "new", lambda g, x: F.concat(g, F.coalesce(x, F.lit(""))))
     return df.select("row", F.when(F.col("gaps").isNotNull(), F.array_join(parts, "")).otherwise(F.col("text")).alias("text"), "hits")
 
 
