@@ -8,11 +8,14 @@ there is one). A schema without `payload` never decodes payloads.
 
 Writing makes a gzip member of each record. Tasks write files of their own names and only those
 that the driver commits are in the manifest, so a lost or repeated task leaves nothing to see.
+Names of header fields are read whatever their case. A record that is cut short, or has no
+length, is an error; with the option badRecords=skip reading goes on behind the file's range.
 
 Null payloads are empty ones, null urls leave the target header out, and null ids are never
 chosen as the response of a group unless there is no other (then the group's rows all are
-responses). Rows that repeat the response's id are responses too. An empty table makes an
-archive without records.
+responses). Rows that repeat the response's id are responses too. Payloads are written and read
+whole, however long. Other columns have no influence; an empty table makes an archive without
+records.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
                                     LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage)
 from pyspark.sql.types import StructType
 
-from .common import new_path, salted_left_join, table
+from .common import new_path, salted_left_join, small_batches, table
 
 #: Header of each column; fixed names of the format (the payload's length is an extension field).
 HEADERS = {
@@ -128,21 +131,28 @@ class Ranges(InputPartition):
         self.ranges = ranges
 
 
+class BadRecord(ValueError):
+    """A record that cannot be read to its end."""
+
+
 class Members:
     """Reads the records of a range of a file: headers first, the rest on demand."""
 
-    def __init__(self, file, start: int, end: int, zipped: bool):
-        self.file, self.at, self.end, self.zipped = file, start, end, zipped
+    def __init__(self, file, name: str, start: int, end: int, zipped: bool):
+        self.file, self.name, self.at, self.end, self.zipped = file, name, start, end, zipped
+
+    def bad(self, what: str) -> BadRecord:
+        return BadRecord(f"{self.name}: the record at byte {self.at} {what}")
 
-    def heads(self) -> Iterator[dict[str, str]]:
-        """Headers of each record; until the next is asked for, payload() gives the record's."""
+    def heads(self) -> Iterator[list[tuple[str, str]]]:
+        """Header fields of each record; until the next is asked for, payload() gives the record's."""
         while self.at < self.end:
             self.file.seek(self.at)
             skip = 0
             if self.zipped:
                 fixed = self.file.read(12)
-                if len(fixed) < 12:
-                    return
+                if len(fixed) < 12 or fixed[:2] != b"\x1f\x8b":
+                    raise self.bad("has no whole gzip header")
                 if fixed[3] & 4:
                     extra = self.file.read(struct.unpack("<H", fixed[10:12])[0])
                     if extra[:2] == b"sl" and len(extra) >= 12:
@@ -150,19 +160,21 @@ class Members:
                 self.file.seek(self.at)
             self.inflate = zlib.decompressobj(31) if self.zipped else None
             self.taken, self.buffer = 0, b""
-            while b"\r\n\r\n" not in self.buffer and self.more(HEAD):
+            while b"\r\n\r\n" not in self.buffer.lstrip(b"\r\n") and self.more(HEAD):
                 pass
-            head, sep, self.buffer = self.buffer.partition(b"\r\n\r\n")
+            blank = len(self.buffer) - len(self.buffer.lstrip(b"\r\n"))
+            if blank == len(self.buffer) and not self.zipped:
+                return  # nothing but line ends behind the last record
+            head, sep, self.buffer = self.buffer[blank:].partition(b"\r\n\r\n")
             if not sep:
-                return
-            lines = head.decode("utf-8", "replace").strip("\r\n").split("\r\n")
-            headers = {}
-            for line in lines[1:]:
-                name, _, value = line.partition(":")
-                headers[name.strip()] = value.strip()
-            self.body = int(headers.get("Content-Length") or 0)
-            self.headed = len(head) + 4
-            yield headers
+                raise self.bad("ends in its headers")
+            fields = [(n.strip(), v.strip()) for n, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])]
+            length = next((v for n, v in fields if n.lower() == "content-length"), "")
+            if not length.isdigit():
+                raise self.bad("has no length")
+            self.body = int(length)
+            self.headed = blank + len(head) + 4
+            yield fields
             if skip:
                 self.at += skip
             elif not self.zipped:
@@ -170,7 +182,11 @@ class Members:
             else:
                 while not self.inflate.eof and self.more(1 << 16):
                     self.buffer = b""
+                if not self.inflate.eof:
+                    raise self.bad("ends before its gzip member does")
                 self.at += self.taken - len(self.inflate.unused_data)
+            if self.at > self.end + (0 if self.zipped else 4):  # the last line ends may be left out
+                raise self.bad(f"was to end there, behind byte {self.end}")
 
     def more(self, size: int) -> bool:
         data = self.file.read(size)
@@ -181,16 +197,18 @@ class Members:
         self.buffer += data
         return bool(data)
 
-    def payload(self, headers: dict[str, str]) -> bytes:
+    def payload(self, http: bool) -> bytes:
         while len(self.buffer) < self.body and self.more(max(HEAD, self.body - len(self.buffer))):
             pass
+        if len(self.buffer) < self.body:
+            raise self.bad("ends in its payload")
         block = self.buffer[: self.body]
-        return block.partition(b"\r\n\r\n")[2] if headers.get("Content-Type", "").startswith("application/http") else block
+        return block.partition(b"\r\n\r\n")[2] if http else block
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType, partition: int):
-        self.path, self.names, self.partition = path, schema.fieldNames(), partition
+    def __init__(self, path: str, schema: StructType, partition: int, skip: bool = False):
+        self.path, self.names, self.partition, self.skip = path, schema.fieldNames(), partition, skip
         self.filters: list[Filter] = []
 
     def pushFilters(self, filters: list[Filter]):
@@ -226,7 +244,7 @@ class WarcReader(DataSourceReader):
     def wanted(self, headers: dict[str, str]) -> bool:
         for f in self.filters:
             c = f.attribute[0]
-            v = headers.get(HEADERS[c])
+            v = headers.get(HEADERS[c].lower())
             v = int(v) if v is not None and c in NUMBERS else v
             if isinstance(f, IsNotNull):
                 ok = v is not None
@@ -246,27 +264,32 @@ class WarcReader(DataSourceReader):
         rows, size = [], 0
         for name, start, end in partition.ranges:
             with store.open_input_file(name) as file:
-                records = Members(file, start, end, name.endswith(".gz"))
-                for headers in records.heads():
-                    if not self.wanted(headers):
-                        continue
-                    row = {c: headers.get(HEADERS[c]) for c in self.names if c in HEADERS}
-                    row |= {c: int(row[c]) for c in NUMBERS if row.get(c) is not None}
-                    if "headers" in self.names:
-                        row["headers"] = list(headers.items())
-                    if "payload" in self.names:
-                        row["payload"] = records.payload(headers)
-                        size += len(row["payload"])
-                    rows.append(row)
-                    if len(rows) >= 4096 or size >= 8 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows, size = [], 0
+                records = Members(file, name, start, end, name.endswith(".gz"))
+                try:
+                    for fields in records.heads():
+                        headers = {n.lower(): v for n, v in fields}
+                        if not self.wanted(headers):
+                            continue
+                        row = {c: headers.get(HEADERS[c].lower()) for c in self.names if c in HEADERS}
+                        row |= {c: int(row[c]) for c in NUMBERS if row.get(c) is not None}
+                        if "headers" in self.names:
+                            row["headers"] = list(dict(fields).items())
+                        if "payload" in self.names:
+                            row["payload"] = records.payload(headers.get("content-type", "").lower().startswith("application/http"))
+                            size += len(row["payload"])
+                        rows.append(row)
+                        if len(rows) >= 4096 or size >= 8 << 20:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows, size = [], 0
+                except BadRecord:
+                    if not self.skip:
+                        raise
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 class WarcSource(DataSource):
-    """format("warc"): option path, and partitionBytes for reading."""
+    """format("warc"): option path; for reading partitionBytes, and badRecords (fail or skip)."""
 
     @classmethod
     def name(cls) -> str:
@@ -276,7 +299,7 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> WarcReader:
-        return WarcReader(self.options["path"], schema, int(self.options.get("partitionbytes", PARTITION)))
+        return WarcReader(self.options["path"], schema, int(self.options.get("partitionbytes", PARTITION)), self.options.get("badrecords", "fail") == "skip")
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"])
@@ -304,6 +327,7 @@ def base32(hexed: Column) -> Column:
 def write_pages(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD) -> None:
     """A record of every row of pages(page_id, url, html); see the module on who is a revisit."""
     use_warc(pages.sparkSession)
+    small_batches(pages.sparkSession)
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", base32(F.sha1("payload"))).withColumn("n", F.octet_length("payload").cast("long"))
     large = rows if min_payload <= 0 else rows.where(F.col("n") >= min_payload)

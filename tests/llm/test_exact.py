@@ -162,6 +162,31 @@ def test_warc_foreign_files(spark, tmp_path):
     assert warc.pages_back(spark, path).count() == 0
 
 
+def test_warc_cut_files_and_other_cases(tmp_path):
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    schema = StructType([StructField("warc_type", StringType()), StructField("payload", StringType())])
+
+    def read(data, name, skip=False, columns=schema):
+        (tmp_path / name).write_bytes(data)
+        reader = warc.WarcReader(f"file://{tmp_path}/{name}", columns, 1 << 20, skip)
+        return [(r["warc_type"], r.get("payload")) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+
+    one = warc.record({"warc_type": "response", "payload": b"abc" * 900})
+    payload = b"abc" * 900
+    lower = one.replace(b"Content-Length: 2", b"content-LENGTH: 2").replace(b"WARC-Type", b"warc-type")
+    assert lower != one and read(lower + one, "a.warc") == [("response", payload)] * 2
+    for whole, name in ((one, "b.warc"), (warc.member(one), "c.warc.gz")):
+        for cut in (5, 40, len(whole) // 2, len(whole) - 30):
+            for columns in (schema, schema[:1]):
+                with pytest.raises(warc.BadRecord):
+                    read(whole + whole[:cut], name, columns=columns)
+                assert read(whole + whole[:cut], name, True)[:1] == [("response", payload)]
+    assert read(one[:-4], "d.warc") == [("response", payload)]
+    with pytest.raises(warc.BadRecord):
+        read(one.replace(b"Content-Length: 2", b"X-Length: 2", 1), "e.warc")
+
+
 # n-gram join
 
 
