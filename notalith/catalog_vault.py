@@ -278,13 +278,20 @@ def chunk_reuse(spark, d):
     return spark.createDataFrame([(r.reused, r.embedded, r.chunks)], "reused bigint, embedded bigint, chunks bigint")
 
 
+#: Indexes of the notes by application, folder and whether they have clusters: an index outlives the query that builds it.
+BUILT: dict[tuple, str] = {}
+
+
 def built(spark, d, cluster=False):
     from .plans.build import build_index
     from .plans.search import Index
 
-    path = f"{shared(spark)}/index"
-    build_index(spark, notes(spark, d), path, cluster=cluster)
-    return Index.load(spark, path), path
+    key = (spark.sparkContext.applicationId, d, cluster)
+    if key not in BUILT:
+        path = f"{shared(spark)}/index"
+        build_index(spark, notes(spark, d), path, cluster=cluster)
+        BUILT[key] = path
+    return Index.load(spark, BUILT[key]), BUILT[key]
 
 
 def note_queries(spark, d):
@@ -295,14 +302,57 @@ def note_queries(spark, d):
 HITS = ("qid", "rank", "file", "heading", "cosine", "score", "graph_score")
 
 
-@query()
+def embedded_sql(text: str) -> str:
+    """The vector of hash-64: a count for each word in the place of its hash modulo 64, at length one, as float32."""
+    code = "list_reduce(list_prepend(7, list_transform(string_split(w, ''), lambda c: unicode(c))), lambda h, c: (h * 31 + c) % 4294967296) % 64"
+    counts = f"list_transform(range(64), lambda b: len(list_filter(list_transform(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+'), lambda w: {code}), lambda x: x = b)))"
+    return f"(SELECT list_transform(l, lambda x: (x / sqrt(list_sum(list_transform(l, lambda y: y * y))))::FLOAT)::DOUBLE[] FROM (SELECT {counts} AS l))"
+
+
+def search_sql(where: str = "TRUE", graph: bool = False, k: int = 6) -> str:
+    """CTEs that end in hits(qid, rank, file, heading, text, fused, cosine, graph_score): lanes, their fusion and the first k of each query."""
+    from .catalog_search import tok
+
+    weighted = " UNION ALL ".join(f"SELECT file, start_line, unnest({tok(field)}) AS term, {w}::DOUBLE AS w FROM k" for field, w in (("title", 3.0), ("alias", 3.0), ("path", 1.8), ("text", 1.0)))
+    lanes = "SELECT qid, file, start_line, 'semantic' AS lane, round(cosine, 9) AS score FROM cs UNION ALL SELECT qid, file, start_line, 'bm25', round(score, 9) FROM bm UNION ALL SELECT qid, file, start_line, 'fuzzy', round(score, 9) FROM fz"
+    boosted = rank_sql(3)[len(LINKS) + 1 :] + """,
+sd AS (SELECT qid, file AS seed, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, file) AS r FROM (SELECT qid, file, max(cosine) AS score FROM cs WHERE cosine > 0 GROUP BY 1, 2)) WHERE r <= 10),
+bi AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), o1 AS (SELECT DISTINCT seed, dst AS file FROM (SELECT DISTINCT seed FROM sd) JOIN bi ON src = seed WHERE dst <> seed),
+o2 AS (SELECT DISTINCT o1.seed, dst AS file FROM o1 JOIN bi ON src = file WHERE dst <> o1.seed AND NOT EXISTS (SELECT 1 FROM o1 x WHERE x.seed = o1.seed AND x.file = dst)),
+pa AS (SELECT qid, file, max(score * f) AS passed FROM sd JOIN (SELECT seed, file, 0.5 AS f FROM o1 UNION ALL SELECT seed, file, 0.25 FROM o2) USING (seed) GROUP BY 1, 2),
+gr AS (SELECT qid, file, start_line, rank + coalesce(passed, 0) AS score FROM cs JOIN r3 USING (file) LEFT JOIN pa USING (qid, file)),"""
+    if graph:
+        lanes += " UNION ALL SELECT qid, file, start_line, 'graph', round(score, 9) FROM gr"
+    return (LINKS if graph else "") + f""", k AS (SELECT c.*, t.alias, t.status, concat('item-', c.k) AS al FROM c JOIN t USING (file)),
+qs AS (SELECT k AS qid, title AS query, {embedded_sql('title')} AS v FROM t WHERE k % 100 = 0), q AS (SELECT qid, unnest(list_distinct({tok('query')})) AS term FROM qs),
+ok AS (SELECT * FROM k WHERE {where}), ve AS (SELECT file, start_line, {embedded_sql(PASSAGE)} AS v FROM ok),
+cs AS (SELECT qid, file, start_line, list_inner_product(qs.v, ve.v) AS cosine FROM qs, ve),
+p AS (SELECT file, start_line, term, sum(w) AS tf FROM ({weighted}) GROUP BY 1, 2, 3), le AS (SELECT file, start_line, round(sum(tf), 3) AS len FROM p GROUP BY 1, 2),
+av AS (SELECT count(*) AS n, avg(len) AS av FROM le), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+bm AS (SELECT qid, p.file, p.start_line, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / av))) AS score
+  FROM q JOIN p USING (term) JOIN df USING (term) JOIN le ON le.file = p.file AND le.start_line = p.start_line CROSS JOIN av WHERE EXISTS (SELECT 1 FROM ok WHERE ok.file = p.file) GROUP BY 1, 2, 3),
+nw AS (SELECT DISTINCT file, start_line, word FROM (SELECT file, start_line, unnest({tok("concat(title, ' ', alias)")}) AS word FROM ok) WHERE length(word) >= 3),
+pr AS (SELECT term, word, damerau_levenshtein(term, word) AS dist FROM (SELECT DISTINCT term FROM q WHERE length(term) >= 3), (SELECT DISTINCT word FROM nw) WHERE abs(length(term) - length(word)) <= 2),
+fz AS (SELECT qid, file, start_line, 2 * max(1 - dist / greatest(length(pr.term), length(word))) AS score FROM nw JOIN pr USING (word) JOIN q USING (term) WHERE dist <= least(2, length(pr.term) // 3) GROUP BY 1, 2, 3),
+{boosted if graph else ''}
+la AS (SELECT *, rank() OVER (PARTITION BY qid, lane ORDER BY score DESC) AS r FROM ({lanes}) WHERE score > 0),
+fu AS (SELECT qid, file, start_line, sum(CASE lane WHEN 'graph' THEN 0.5 ELSE 1 END / (60 + r)) AS fused FROM la GROUP BY 1, 2, 3),
+hits AS (SELECT * FROM (SELECT fu.*, cosine, heading, text, {'gr.score' if graph else 'NULL::DOUBLE'} AS graph_score,
+  row_number() OVER (PARTITION BY fu.qid ORDER BY round(fused, 9) DESC, round(coalesce(cosine, -1), 9) DESC, fu.file, fu.start_line) AS rank
+  FROM fu JOIN c USING (file, start_line) LEFT JOIN cs USING (qid, file, start_line) {'LEFT JOIN gr USING (qid, file, start_line)' if graph else ''}) WHERE rank <= {k})"""
+
+
+SHOWN = " SELECT qid, rank, file, heading, round(cosine, 3) AS cosine, round(fused, 4) AS score, round(graph_score, 4) AS graph_score FROM "
+
+
+@query(search_sql("status <> 'archived'") + SHOWN + "hits")
 def vault_search(spark, d):
     from .plans.search import search
 
     return search(note_queries(spark, d), built(spark, d)[0], filter="status != archived").select(*HITS)
 
 
-@query()
+@query(search_sql(graph=True) + SHOWN + "(SELECT *, row_number() OVER (PARTITION BY qid, file ORDER BY rank) AS nth FROM hits) WHERE nth <= 1")
 def graph_boost_search(spark, d):
     from .plans.search import search
 
@@ -316,7 +366,20 @@ def ann_search(spark, d):
     return search(note_queries(spark, d), built(spark, d, True)[0], ann=True).select(*HITS)
 
 
-@query()
+def asked_sql() -> str:
+    from .catalog_search import SENTENCES, tok
+
+    return search_sql(k=5) + f""", hx AS (SELECT qid, rank, round(fused, 4) AS score, concat('[', file, ' › ', heading, ']') AS cite, substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 220) AS text FROM hits),
+su AS (SELECT qid, rank, score, cite, unnest(ss) AS sent, generate_subscripts(ss, 1) AS n FROM (SELECT *, {SENTENCES} AS ss FROM hx)), ts AS (SELECT qid, {tok('query')} AS terms FROM qs),
+sf AS (SELECT su.*, len(list_filter({tok('sent')}, lambda x: list_contains(terms, x))) AS found, len({tok('sent')}) AS toks FROM su JOIN ts USING (qid) WHERE length(sent) > 15),
+sp AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(found / (toks + 1) * score, 9) DESC, rank, n) AS place FROM sf WHERE found > 0),
+an AS (SELECT qid, string_agg(sent || ' ' || cite, chr(10) || chr(10) ORDER BY place) AS body FROM sp WHERE place <= 3 GROUP BY 1),
+ex AS (SELECT qid, string_agg(cite || ': ' || substr(text, 1, 200) || '…', chr(10) || chr(10) ORDER BY rank) AS body FROM hx WHERE rank <= 2 GROUP BY 1)
+SELECT qid, CASE WHEN an.body IS NOT NULL THEN 'Based on your notes:' || chr(10) || chr(10) || an.body WHEN ex.body IS NOT NULL THEN 'Relevant excerpts from notes:' || chr(10) || chr(10) || ex.body
+  ELSE 'No relevant passages found in the notes to answer the question.' END AS answer FROM qs LEFT JOIN an USING (qid) LEFT JOIN ex USING (qid)"""
+
+
+@query(asked_sql())
 def ask_vault(spark, d):
     from .plans.answers import ask
 

@@ -19,13 +19,15 @@ def session(master: str | None = None, app: str = "notalith", **settings: str) -
 
 
 def stored(df, tag: str):
-    """df computed once and kept in the session's checkpoint folder (a temporary one if none is set)."""
+    """df computed once and kept in the session's checkpoint folder; where none is set in a temporary one, but on a cluster that is an error."""
     import tempfile
     import uuid
 
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='notalith-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -37,8 +39,9 @@ def stored(df, tag: str):
 FEW = 100_000
 
 
-def small(df):
-    """df with a broadcast hint if a count shows that it is small; else as it is."""
+def small(df, tag: str = "side"):
+    """df, computed once and kept, with a broadcast hint if a count shows that it is small."""
     from pyspark.sql import functions as F
 
+    df = stored(df, tag)
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df

@@ -72,3 +72,11 @@ def test_scan(spark, tmp_path):
         p.write_text(text)
     got = {r.file for r in M.scan_notes(spark, str(tmp_path), ["skip"]).collect()}
     assert got == {"a.md", "x/B.MARKDOWN", "x/sp ace+é.md"}
+
+
+def test_blocks_at_lists_and_rules():
+    kinds = lambda text: [(b["type"], b["text"]) for b in markdown.parse_blocks(text)]
+    assert kinds("text\n- item\n---") == [("paragraph", "text"), ("paragraph", "- item\n---")]
+    assert kinds("1) Title\n===") == [("setext_heading", "1) Title\n===")]
+    assert kinds("> quote\n1) item") == [("blockquote", "> quote\n1) item")]
+    assert kinds("> quote\n1. item") == [("blockquote", "> quote"), ("paragraph", "1. item")]
