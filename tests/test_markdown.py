@@ -75,7 +75,7 @@ def test_scan(spark, tmp_path):
 
 
 def test_blocks_at_lists_and_rules():
-    kinds = lambda text: [(b["type"], b["text"]) for b in markdown.parse_blocks(text)]
+    kinds = lambda text: [(b["type"], b["text"]) for b in M.parse_blocks(text)]
     assert kinds("text\n- item\n---") == [("paragraph", "text"), ("paragraph", "- item\n---")]
     assert kinds("1) Title\n===") == [("setext_heading", "1) Title\n===")]
     assert kinds("> quote\n1) item") == [("blockquote", "> quote\n1) item")]
