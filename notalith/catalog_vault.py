@@ -392,22 +392,42 @@ def index_health(spark, d):
     return reports.health(i.chunks, i.postings, i.lengths, i.edges, 64)
 
 
-@query("SELECT file, 3::BIGINT AS chunks FROM t")
+def as_files(rows: DataFrame, folder: str) -> None:
+    """Writes raw of rows(file, raw) under folder, each in its own file, by the tasks."""
+
+    def write(batches):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            for file, raw in zip(b.column("file").to_pylist(), b.column("raw").to_pylist(), strict=True):
+                store.create_dir(f"{base}/{file}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{base}/{file}", compression=None) as out:
+                    out.write(raw.encode())
+            yield b.select(["file"])
+
+    rows.select("file", "raw").mapInArrow(write, "file string").write.format("noop").mode("overwrite").save()
+
+
+@query("SELECT file, CASE WHEN k % 9 = 0 AND k % 11 <> 0 THEN 'changed' WHEN k % 11 = 0 THEN 'new' ELSE 'same' END AS change, 3::BIGINT AS chunks, md5 AS indexed FROM (SELECT *, " + 'md5(concat_ws(chr(10), \'---\', concat(\'title: \', title), concat(\'aliases: [\', alias, \']\'), concat(\'tags: [#\', kind, \', \', lower(brand), \']\'), concat(\'project: \', project), concat(\'status: \', status), concat(\'canonical: \', canonical), concat(\'priority: \', size), concat(\'created: \', created), \'---\') || chr(10) || chr(10) || \'# \' || title || chr(10) || chr(10) || t1 || chr(10) || chr(10) || \'## Specs\' || chr(10) || chr(10) || t2 || chr(10) || chr(10) || \'## Related\' || chr(10) || chr(10) || t3 || chr(10)) AS md5 FROM t)')
 def stream_incremental(spark, d):
-    """Notes arrive as files; a stream indexes what is there and ends."""
-    from .plans.search import Index
+    """Notes arrive as files in two batches of a stream: older ones, then edits and new ones, while some go.
 
-    root = shared(spark)
-    n = notes(spark, d).select("brand", F.col("k").cast("string").alias("k"), "raw")
-    # a file a note, written by the tasks through Spark's own writer
-    n.select(F.concat("brand", F.lit("-"), "k").alias("note"), F.col("raw").alias("value")).repartition("note").write.partitionBy("note").option("compression", "none").text(f"{root}/raw")
-    spread = spark.read.option("wholetext", True).format("text").load(f"{root}/raw")
-    docs = spread.select(F.regexp_replace("note", "-", "/").alias("f"), "value").select(F.concat("f", F.lit(".md")).alias("file"), F.regexp_replace("value", r"\n+\z", "\n").alias("raw"))
-    docs = docs.withColumn("md5", F.md5(F.col("raw").cast("binary"))).withColumn("mtime", F.lit("2025-01-01 00:00:00").cast("timestamp"))
-    stored_docs = stored(docs, "arrived")
-    stream = spark.readStream.schema("note string, value string").text(f"{root}/raw", wholetext=True)
-    from .plans.build import build_index
+    Returns what the second batch made of each note that is left, with its chunks and the digest indexed.
+    """
+    from .plans.build import changes
+    from .streaming.refresh import follow
 
-    q = stream.writeStream.option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).foreachBatch(lambda b, e: build_index(spark, stored_docs, f"{root}/index", cluster=False) and None).start()
-    q.awaitTermination()
-    return reports.list_files(Index.load(spark, f"{root}/index").chunks)
+    root = shared(spark)
+    old, new = stored(older(spark, d), "older"), stored(notes(spark, d).select("file", "raw", "md5"), "newer")
+    as_files(old, f"{root}/notes")
+    follow(spark, f"{root}/notes", f"{root}/index", f"{root}/cp", once=True, cluster=False).awaitTermination()
+    before = stored(index_io.Store(spark, f"{root}/index").table("docs").select("file", "md5"), "before")
+    index_io.Store(spark, root).remove("notes/gone")
+    diff = changes(new, old).where("change IN ('new', 'changed')").select("file")
+    as_files(new.join(diff, "file", "left_semi"), f"{root}/notes")
+    follow(spark, f"{root}/notes", f"{root}/index", f"{root}/cp", once=True, cluster=False).awaitTermination()
+    store = index_io.Store(spark, f"{root}/index")
+    after = store.table("docs").select("file", F.col("md5").alias("indexed"))
+    made = changes(after.withColumnRenamed("indexed", "md5"), before).where("change <> 'deleted'")
+    return made.join(reports.list_files(store.table("chunks")), "file").join(after, "file")
