@@ -17,8 +17,10 @@ levels every set of a bucket is then paired with the bucket's own first. A pair
 if the sketches of its sets (a byte for each cell of the domain) differ in more cells than
 similar sets differ in elements; what is left is counted exactly. Where a first one and its
 partners do not all end in one component, sets of different components are held against each
-other in blocks, sketch by sketch, and again only what is left leaves the block. So no link
-between components is lost and no group is expanded into pairs.
+other in blocks, sketch by sketch. First no more pairs leave a pair of blocks than would join
+its components, nearest first, and are counted; then, of the groups that gave any, all pairs that
+still lie between components. So no link between components is lost and no group of copies is
+expanded into pairs.
 
 Identical sets are one set from the start. Words are maximal runs of other than ASCII white
 space, A-Z lowered. Texts of fewer words than n have one shingle; null texts and texts without
@@ -50,8 +52,8 @@ COMBINE, RANGE = 1 << 19, 1 << 20
 PAIRS, LEAVING = 1 << 12, 1 << 16
 #: Sets of a file that has their sketches.
 SKETCHES_A_FILE = 10_000
-#: Sets of a block in which unconnected sets are held against each other.
-BLOCK = 256
+#: Bytes of sketches of a block in which unconnected sets are held against each other.
+BLOCK = 1 << 18
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -309,15 +311,18 @@ def near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "near"])
 
 
-def across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b) of different components that the sketches leave open, from rows sorted by (star, i, j).
+def across(batches: Iterator[pa.RecordBatch], percent: int, forest: bool) -> Iterator[pa.RecordBatch]:
+    """(star, a, b) of different components that the sketches leave open, from rows sorted by (star, i, j).
 
     Rows of a key are the sets of blocks i and j of a star: side 0 is block i, side 1 is block j.
+    With forest a pair is passed over if those before it would already join its components, so
+    a key gives fewer pairs than it has components, and at least one if any pair is open.
     """
     names = ["star", "i", "j"]
 
     def compare(rows: pa.Table) -> np.ndarray:
-        ids, comp, size, side = (rows[c].to_numpy() for c in ("id", "component", "size", "side"))
+        ids, size, side = (rows[c].to_numpy() for c in ("id", "size", "side"))
+        comp = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
         cells = rows["sketch"].to_pylist()
         n = min(map(len, cells))
         flat = np.concatenate([folded(np.frombuffer(c, np.uint8)[None], n) for c in cells])
@@ -328,13 +333,20 @@ def across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
             o = right[(comp[right] != comp[r]) & (ids[right] > ids[r] if right is left else True)]
             o = o[np.minimum(size[o], size[r]) * 100 >= np.maximum(size[o], size[r]) * percent]
             if len(o):
-                o = o[(flat[o] != flat[r]).sum(1) <= most_differences(size[o], size[r], percent)]
+                differ = (flat[o] != flat[r]).sum(1)
+                fit = differ <= most_differences(size[o], size[r], percent)
+                o, differ = o[fit], differ[fit]
+                if forest and len(o):
+                    o = o[np.argsort(differ, kind="stable")]
+                    joined, nearest = np.unique(comp[o], return_index=True)
+                    o = o[nearest]
+                    comp[np.isin(comp, joined)] = comp[r]
                 out.append(np.stack([np.minimum(ids[o], ids[r]), np.maximum(ids[o], ids[r])], 1))
         return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
     def ended(rows: pa.Table) -> pa.RecordBatch | None:
         p = compare(rows)
-        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"]) if len(p) else None
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(p), key[0])), pa.array(p[:, 0]), pa.array(p[:, 1])], names=["star", "a", "b"]) if len(p) else None
 
     held, key = [], None
     for batch in batches:
@@ -353,6 +365,20 @@ def across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield out
 
 
+def apart(pairs: DataFrame, comps: DataFrame, distinct: DataFrame, percent: int, forest: bool, parts: int) -> DataFrame:
+    """(star, a, b): pairs of across() for the stars of pairs(a, b) whose sets are not in one component."""
+    of = lambda df, c: df.join(comps.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+    cells = distinct.select(F.col("set_no").alias("b"), "size", F.length("sketch").alias("room"))
+    placed = written(of(of(pairs, "a"), "b").join(cells, "b"), "placed", parts)
+    open_ = placed.groupBy("a").agg(F.sum("room").alias("room"), F.max(F.col("ca") != F.col("cb")).alias("open"), F.min("cb").alias("lo"), F.max("cb").alias("hi")).where("open AND lo <> hi").select("a", F.ceil(F.col("room") / BLOCK).cast("int").alias("blocks"))
+    members = salted_left_join(placed.select("a", F.col("b").alias("id"), F.col("cb").alias("component"), "size"), open_, "a", F.col("id")).where("blocks IS NOT NULL")
+    members = members.join(distinct.select(F.col("set_no").alias("id"), "sketch"), "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.col("a").alias("star"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "component", "size", "sketch")
+    spread = spread.repartition("star", "i", "j").sortWithinPartitions("star", "i", "j")
+    return spread.mapInArrow(lambda b: across(b, percent, forest), "star long, a long, b long")
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable by links(a, b), for every id in them.
 
@@ -454,21 +480,18 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, wide: bool = Fals
     exact = written(counted(rows, distinct, near_pairs, n, percent), "checked", pair_parts)
     links = exact.where("linked").select("a", "b")
     comps = written(components(links), "components", pair_parts)
-    # stars whose sets are not in one component
-    of = lambda df, c: df.join(comps.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
-    placed = written(of(of(pairs.select("a", "b"), "a"), "b"), "placed", pair_parts)
-    open_ = placed.groupBy("a").agg(F.count(F.lit(1)).alias("many"), F.max(F.col("ca") != F.col("cb")).alias("open"), F.min("cb").alias("lo"), F.max("cb").alias("hi")).where("open AND many > 1 AND lo <> hi").select("a", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
-    members = salted_left_join(placed.select("a", F.col("b").alias("id"), F.col("cb").alias("component")), open_, "a", F.col("id")).where("blocks IS NOT NULL")
-    members = members.join(distinct.select(F.col("set_no").alias("id"), "size", "sketch"), "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.col("a").alias("star"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "component", "size", "sketch")
-    spread = spread.repartition("star", "i", "j").sortWithinPartitions("star", "i", "j")
-    more = spread.mapInArrow(lambda b: across(b, percent), "a long, b long").distinct()
-    more = written(more.join(exact.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "across", pair_parts)
-    if more.take(1):
-        found = written(counted(rows, distinct, more, n, percent), "checked-across", pair_parts).where("linked").select("a", "b")
-        if found.take(1):
-            comps = written(components(links.unionByName(found)), "all-components", pair_parts)
+    # stars whose sets are not in one component: first what would join them, then all that is left
+    tried = exact.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    held = pairs.select("a", "b")
+    for forest in (True, False):
+        open_ = written(apart(held, comps, distinct, percent, forest, pair_parts), "across", pair_parts)
+        more = written(open_.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "across-pairs", pair_parts)
+        if more.take(1):
+            counts = written(counted(rows, distinct, more, n, percent), "checked-across", pair_parts)
+            links, tried = links.unionByName(counts.where("linked").select("a", "b")), tried.unionByName(more)
+            if counts.where("linked").take(1):
+                comps = written(components(links), "all-components", pair_parts)
+        held = held.join(open_.select(F.col("star").alias("a")).distinct(), "a", "left_semi")
     # a component's name is the least doc_id of its sets
     named = distinct.select("set_no", "set_key", "least").join(comps.select(F.col("id").alias("set_no"), "component"), "set_no", "left").withColumn("component", F.coalesce("component", "set_no"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -480,7 +503,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, wide: bool = Fals
 def drop_similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs without those that a document of a smaller id is linked with, through others or not."""
     keep, made_up = F.col("doc_id").eqNullSafe(F.col("component_id")), free_name(docs.columns, "keep")
-    joined = ngram_join(docs, n, percent).where(keep).select(F.col("doc_id").alias(made_up)).distinct()
+    joined = ngram_join(docs, n, percent, wide=True).where(keep).select(F.col("doc_id").alias(made_up)).distinct()
     return docs.join(joined, F.col("doc_id").eqNullSafe(F.col(made_up)), "left_semi")
 
 

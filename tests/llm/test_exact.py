@@ -212,7 +212,7 @@ def plain_join(rows, n, percent):
     return Counter((d, len(sets[i]), min((x for x in groups[root(i)] if x is not None), default=None)) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize(("n", "percent", "wide"), [(3, 90, True), (5, 80, False), (2, 60, False)])
+@pytest.mark.parametrize(("n", "percent", "wide"), [(3, 90, True), (5, 80, False), (5, 80, True), (2, 60, False)])
 def test_ngram_join_is_exact(spark, n, percent, wide):
     r = random.Random(n * percent)
     words = [f"w{i}" for i in range(60)]
@@ -230,7 +230,7 @@ def test_ngram_join_is_exact(spark, n, percent, wide):
     assert got == plain_join(rows, n, percent)
 
 
-@pytest.mark.parametrize(("percent", "wide"), [(90, True), (80, False), (95, True), (50, False)])
+@pytest.mark.parametrize(("percent", "wide"), [(90, True), (80, False), (80, True), (95, True), (50, False)])
 def test_similar_sets_share_a_signature(percent, wide):
     r = np.random.default_rng(percent)
     for size in [2, 3, 5, 9, 10, 11, 19, 20, 21, 40, 41, 77, 150, 400, 1500]:
@@ -268,6 +268,22 @@ def test_sets_of_a_bucket_meet_whatever_their_blocks(monkeypatch):
         assert all(any({x, y} <= star for star in stars.values()) for y, t in whole.items() if x != y and s & t)
 
 
+def test_unconnected_sets_leave_a_block_as_a_forest():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 100, np.uint64)
+    sets = [np.sort(np.concatenate([base[: 100 - i % 5], rng.integers(0, 1 << 63, i % 5, np.uint64)])) for i in range(60)]
+    sets += [np.sort(rng.integers(0, 1 << 63, 100, np.uint64)) for _ in range(5)]  # these are near nothing
+    rows = pa.table({"star": [1] * 65, "i": [0] * 65, "j": [0] * 65, "side": [0] * 65, "id": range(65), "component": range(65), "size": [100] * 65, "sketch": [ngram_join.sketch(x) for x in sets]})
+    whole = [(a, b) for t in ngram_join.across(iter(rows.to_batches()), 80, False) for a, b in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)]
+    forest = [(a, b) for t in ngram_join.across(iter(rows.to_batches()), 80, True) for a, b in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)]
+    assert sorted(whole) == [(a, b) for a in range(60) for b in range(a + 1, 60)]
+    assert set(forest) <= set(whole) and len(forest) == 59
+    root = list(range(65))
+    for a, b in forest:
+        root = [root[a] if r == root[b] else r for r in root]
+    assert len(set(root[:60])) == 1
+
+
 def test_ngram_join_is_exact_across_tasks(spark):
     r = random.Random(4)
     rows = []
