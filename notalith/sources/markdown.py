@@ -22,6 +22,7 @@ FENCE = re.compile(r"^(\s*)(`{3,}|~{3,})(.*)$")
 ATX = re.compile(r"^(\s{0,3})(#{1,6})\s+(.+?)\s*#*\s*$")
 SETEXT = re.compile(r"^(\s{0,3})(=+|-+)\s*$")
 TABLE_RULE = re.compile(r"^\s*\|?\s*[-:]+[-|\s:]*$")
+HASHES = re.compile(r"^(\s*)#{1,6}\s")
 QUOTE, BULLET, ORDERED = re.compile(r"^\s*>"), re.compile(r"^\s*[-*+]\s+"), re.compile(r"^\s*\d+\.\s+")
 PAIR, ITEM = re.compile(r"^([a-zA-Z0-9_-]+):\s*(.*)$"), re.compile(r"^(\s+)-\s+(.+)$")
 NUMBER = re.compile(r"^-?\d+(\.\d+)?$")
@@ -148,12 +149,12 @@ def parse_blocks(body: str) -> list[dict]:
             add("table", end)
         elif QUOTE.match(line):
             end = i + 1
-            while end < n and lines[end].strip() and (QUOTE.match(lines[end]) or not (ATX.match(lines[end]) or FENCE.match(lines[end]) or BULLET.match(lines[end]) or ORDERED.match(lines[end]))):
+            while end < n and lines[end].strip() and (QUOTE.match(lines[end]) or not (HASHES.match(lines[end]) or FENCE.match(lines[end]) or BULLET.match(lines[end]) or ORDERED.match(lines[end]))):
                 end += 1
             add("blockquote", end)
         else:
             end = i + 1
-            while end < n and (s := lines[end]).strip() and not (ATX.match(s) or FENCE.match(s) or QUOTE.match(s) or s.lstrip().startswith("|") or (end + 1 < n and SETEXT.match(lines[end + 1]))):
+            while end < n and (s := lines[end]).strip() and not (((m := HASHES.match(s)) and len(m[1]) <= 3) or FENCE.match(s) or QUOTE.match(s) or s.lstrip().startswith("|") or (end + 1 < n and SETEXT.match(lines[end + 1]))):
                 end += 1
             add("paragraph", end)
         i = end

@@ -80,3 +80,12 @@ def test_blocks_at_lists_and_rules():
     assert kinds("1) Title\n===") == [("setext_heading", "1) Title\n===")]
     assert kinds("> quote\n1) item") == [("blockquote", "> quote\n1) item")]
     assert kinds("> quote\n1. item") == [("blockquote", "> quote"), ("paragraph", "1. item")]
+
+
+def test_hashes_end_paragraphs_and_quotes_even_without_a_title():
+    kinds = lambda s: [(b["type"], b["text"]) for b in M.parse_blocks(s)]
+    assert kinds("text\n# \nmore") == [("paragraph", "text"), ("paragraph", "# \nmore")]
+    assert kinds("text\n    # more") == [("paragraph", "text\n    # more")]
+    assert kinds("> quote\n    # more") == [("blockquote", "> quote"), ("paragraph", "    # more")]
+    assert kinds("text\n- item\n---") == [("paragraph", "text"), ("paragraph", "- item\n---")]
+    assert kinds("1) Title\n===") == [("setext_heading", "1) Title\n===")]
