@@ -53,7 +53,7 @@ PAIRS, LEAVING = 1 << 12, 1 << 16
 #: Sets of a file that has their sketches.
 SKETCHES_A_FILE = 10_000
 #: Bytes of sketches of a block in which unconnected sets are held against each other.
-BLOCK = 1 << 18
+BLOCK = 1 << 21
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -503,7 +503,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, wide: bool = Fals
 def drop_similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs without those that a document of a smaller id is linked with, through others or not."""
     keep, made_up = F.col("doc_id").eqNullSafe(F.col("component_id")), free_name(docs.columns, "keep")
-    joined = ngram_join(docs, n, percent, wide=True).where(keep).select(F.col("doc_id").alias(made_up)).distinct()
+    joined = ngram_join(docs, n, percent).where(keep).select(F.col("doc_id").alias(made_up)).distinct()
     return docs.join(joined, F.col("doc_id").eqNullSafe(F.col(made_up)), "left_semi")
 
 
