@@ -485,12 +485,15 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, wide: bool = Fals
     held = pairs.select("a", "b")
     for forest in (True, False):
         open_ = written(apart(held, comps, distinct, percent, forest, pair_parts), "across", pair_parts)
+        if not open_.take(1):
+            break
         more = written(open_.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "across-pairs", pair_parts)
         if more.take(1):
             counts = written(counted(rows, distinct, more, n, percent), "checked-across", pair_parts)
             links, tried = links.unionByName(counts.where("linked").select("a", "b")), tried.unionByName(more)
             if counts.where("linked").take(1):
                 comps = written(components(links), "all-components", pair_parts)
+        release(spark)
         held = held.join(open_.select(F.col("star").alias("a")).distinct(), "a", "left_semi")
     # a component's name is the least doc_id of its sets
     named = distinct.select("set_no", "set_key", "least").join(comps.select(F.col("id").alias("set_no"), "component"), "set_no", "left").withColumn("component", F.coalesce("component", "set_no"))
