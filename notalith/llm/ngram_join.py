@@ -6,8 +6,11 @@ and a set signs for its own band and the next: similar sets sign for a common on
 band similar sets differ in at most k elements. The hash domain is cut into n1 groups, so that
 some group has at most k2 differences, and each group into n2 parts, of which similar sets
 agree on some n2 - k2; each such subset of parts, with its contents, is a signature. There
-are a few groups more than needed, so agreement is certain on several; sets therefore leave
-out near-empty subsets, unless they have them in more groups than the surplus.
+are more groups than needed, so agreement is certain on one more than the surplus. A set
+therefore leaves out subsets of as many groups as are surplus: those that most other sets are
+likely to share, empty ones first and then those whose rarest shingle is frequent in a sample.
+All sets leave out in the same order, which contents alone decide, so of the subsets that two
+similar sets agree on, neither leaves out the last. The sample has no influence on results.
 
 Signatures travel in sorted blocks. Of the sets of a block that share a signature the first
 alone sends it on, one row for each range of signatures, and the others are hung on that first;
@@ -50,11 +53,14 @@ FEW = 200_000
 COMBINE, RANGE = 1 << 19, 1 << 20
 #: Pairs of a row, and of a batch that leaves a task.
 PAIRS, LEAVING = 1 << 12, 1 << 16
+#: Texts in which shingles are counted, about, shingles of one of them at most, texts of a frequent one at least, and frequent ones at most.
+SAMPLE, OF_A_SET, FREQUENT, COMMON = 1 << 13, 1 << 12, 3, 1 << 16
 #: Sets of a file that has their sketches.
 SKETCHES_A_FILE = 10_000
 #: Bytes of sketches of a block in which unconnected sets are held against each other.
 BLOCK = 1 << 21
 
+NONE_COMMON = (np.empty(0, np.uint64), np.empty(0, np.int64))
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -103,33 +109,53 @@ def band_of(size: int, percent: int) -> int:
 
 
 @lru_cache(maxsize=None)
-def shape(high: int, percent: int, wide: bool) -> tuple[int, int, int, int, int]:
-    """(n1, k2, n2, surplus, light) of the band whose largest size is high; n1 = 0 if only equal sets are similar.
+def shape(high: int, percent: int, wide: bool) -> tuple[int, int, int, int]:
+    """(n1, k2, n2, surplus) of the band whose largest size is high; n1 = 0 if only equal sets are similar.
 
     Sets of at most `high` elements each differ in k = 2 * high * (100 - percent) / (100 + percent)
     elements at most. Few differences are met by one group of k + 2 parts; more by groups with
     one difference each. `wide` takes 2-subsets of 3 parts, which hold more elements, and
-    otherwise 1-subsets of 2 parts, which are fewer. Subsets of `light` elements are near-empty.
+    otherwise 1-subsets of 2 parts, which are fewer and of which more are left out.
     """
     k = 2 * high * (100 - percent) // (100 + percent)
     if k == 0:
-        return 0, 0, 0, 0, 0
+        return 0, 0, 0, 0
     if k <= 3:
-        return 1, k, k + 2, 0, 0
+        return 1, k, k + 2, 0
     n1 = -(-(k + 1) // 2)
-    surplus = -(-n1 // (10 if wide else 5))
-    return n1 + surplus, 1, 3 if wide else 2, surplus, 1 if wide else 0
+    surplus = -(-n1 // (10 if wide else 3))
+    return n1 + surplus, 1, 3 if wide else 2, surplus
 
 
-def signatures(x: np.ndarray, percent: int, wide: bool) -> np.ndarray:
+def shared(x: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """In how many sets of the sample each element was found; 0 for those that are not common."""
+    known, count = common
+    if not len(known):
+        return np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return np.where(known[at] == x, count[at], 0)
+
+
+def left_out(weight: np.ndarray, surplus: int) -> np.ndarray:
+    """Which of the subsets (rows: groups) a set leaves out: the heaviest, of no more groups than `surplus`."""
+    order = np.argsort(-weight.ravel(), kind="stable")
+    order = order[weight.ravel()[order] > 0]
+    new = np.zeros(len(order), np.int64)
+    new[np.unique(order // weight.shape[1], return_index=True)[1]] = 1
+    out = np.zeros(weight.size, bool)
+    out[order[np.cumsum(new) <= surplus]] = True
+    return out.reshape(weight.shape)
+
+
+def signatures(x: np.ndarray, percent: int, wide: bool, common: tuple[np.ndarray, np.ndarray] = NONE_COMMON) -> np.ndarray:
     """The distinct signatures of a set for its own band and the next."""
     out = []
     own = band_of(len(x), percent)
     known = bands(percent, 1 << 20)
     known = known if own + 1 < len(known) else bands(percent, 4 * len(x))
-    scattered = mix(x ^ _M2)
+    scattered, often = mix(x ^ _M2), shared(x, common)
     for band in (own, own + 1):
-        n1, k2, n2, surplus, light = shape(known[band][1], percent, wide)
+        n1, k2, n2, surplus = shape(known[band][1], percent, wide)
         if not n1:
             continue
         cells = n1 * n2
@@ -138,14 +164,15 @@ def signatures(x: np.ndarray, percent: int, wide: bool) -> np.ndarray:
         ends = np.searchsorted(cell, np.arange(cells + 1))
         sums = np.concatenate([[np.uint64(0)], np.cumsum(scattered, dtype=np.uint64)])
         content = (sums[ends[1:]] - sums[ends[:-1]]).reshape(n1, n2)
-        filled = np.diff(ends).reshape(n1, n2)
         subsets = np.array(list(combinations(range(n2), n2 - k2)))
         held = content[:, subsets].sum(2, dtype=np.uint64)
-        keep = filled[:, subsets].sum(2) > light
-        # similar sets agree on more groups than `surplus`, so on one without a near-empty subset
-        # unless both have those in more groups than that
-        if (~keep.all(1)).sum() > surplus:
-            keep[:] = True
+        keep = np.ones(held.shape, bool)
+        if surplus:
+            # a subset is shared by no more sets than its rarest element; empty ones by any
+            rarest = np.full(cells, np.iinfo(np.int64).max)
+            filled = ends[1:] > ends[:-1]
+            rarest[filled] = np.minimum.reduceat(often, ends[:-1][filled])
+            keep = ~left_out(rarest.reshape(n1, n2)[:, subsets].min(2), surplus)
         label = np.arange(held.size, dtype=np.uint64).reshape(held.shape) + np.uint64((band + 1) << 32)
         out.append(mix(mix(held) + label)[keep])
     return np.concatenate(out) if out else np.empty(0, np.uint64)
@@ -224,7 +251,7 @@ def measured(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(cells, pa.binary())], names=["doc_id", "row_key", "n_shingles", "set_key", "sketch"])
 
 
-def signed(batches: Iterator[pa.RecordBatch], n: int, percent: int, wide: bool, ranges: int) -> Iterator[pa.RecordBatch]:
+def signed(batches: Iterator[pa.RecordBatch], n: int, percent: int, wide: bool, ranges: int, common: tuple[np.ndarray, np.ndarray] = NONE_COMMON) -> Iterator[pa.RecordBatch]:
     """(part, sigs, who, keys, pairs): for each range of signatures those of a block of sets.
 
     who[i] is the place in keys of the set that signed sigs[i]. Equal sets are taken once a
@@ -260,7 +287,7 @@ def signed(batches: Iterator[pa.RecordBatch], n: int, percent: int, wide: bool,
             x = shingles(t.as_py(), n)
             if not len(x) or (key := set_key(x)) in seen:
                 continue
-            s = signatures(x, percent, wide)
+            s = signatures(x, percent, wide, common)
             if len(s):
                 sigs.append(s)
                 who.append(np.full(len(s), len(seen), np.uint32))
@@ -442,10 +469,34 @@ def owned(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], names=["set_no", "elements"])
 
 
-def starred(rows: DataFrame, n: int, percent: int, wide: bool, total: int) -> DataFrame:
+def sampled(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The shingles of the distinct sets of a task, of each set the least ones."""
+    seen = set()
+    for b in batches:
+        sets = []
+        for t in b.column("text"):
+            x = shingles(t.as_py(), n)
+            if len(x) and (key := set_key(x)) not in seen:
+                seen.add(key)
+                sets.append(x[:OF_A_SET])
+        if sets:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["x"])
+
+
+def frequent(rows: DataFrame, n: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a sample of about SAMPLE rows, in order, and their counts there."""
+    some = rows.where(F.pmod("row_key", F.lit(max(1, n_docs // SAMPLE))) == 0).select("text")
+    counts = some.mapInArrow(lambda b: sampled(b, n), "x long").groupBy("x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    found = counts.orderBy(F.desc("n"), "x").limit(COMMON).toArrow()
+    x = found["x"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(x)
+    return x[order], found["n"].to_numpy().astype(np.int64)[order]
+
+
+def starred(rows: DataFrame, n: int, percent: int, wide: bool, total: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(a, b): every set that shares a signature with others, as b, beside the first of their bucket, by keys."""
     ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE + 1)
-    blocks = rows.select("text").mapInArrow(lambda b: signed(b, n, percent, wide, ranges), "part int, sigs binary, who binary, keys binary, pairs binary")
+    blocks = rows.select("text").mapInArrow(lambda b: signed(b, n, percent, wide, ranges, common), "part int, sigs binary, who binary, keys binary, pairs binary")
     hung_ = written(blocks.repartitionById(ranges, "part").drop("part").mapInArrow(met, "top boolean, a binary, b binary"), "met")
     low, top = hung_.where("NOT top").select("a", "b"), hung_.where("top").select("a", "b")
     # a block's first that hangs on a bucket's first takes its own sets along
@@ -468,7 +519,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, wide: bool = Fals
     del whole
     total = distinct.agg(F.sum("size")).first()[0] or 0
     release(spark)
-    stars = starred(rows, n, percent, wide, total)
+    stars = starred(rows, n, percent, wide, total, frequent(rows, n, n_docs))
     # sizes alone leave out many pairs before sketches are fetched for the rest
     known = lambda c, o: distinct.select(F.col("set_key").alias(c), F.col("set_no").alias(o), F.col("size").alias(f"n{o}"))
     fit = F.least("ni", "nj") * 100 >= F.greatest("ni", "nj") * percent

@@ -284,6 +284,35 @@ def test_unconnected_sets_leave_a_block_as_a_forest():
     assert len(set(root[:60])) == 1
 
 
+def test_ngram_join_leaves_out_what_most_sets_share():
+    r = np.random.default_rng(11)
+    new = lambda n: ngram_join.mix(r.integers(0, 1 << 62, n).astype(np.uint64))
+    license_ = np.sort(new(12))
+    common = license_, np.full(12, 500)
+    for percent, wide in ((80, False), (90, True)):
+        # few of the strangers that share a passage meet in a bucket
+        seen = Counter(s for _ in range(300) for s in ngram_join.signatures(np.unique(np.concatenate([license_, new(300)])), percent, wide, common).tolist())
+        assert max(seen.values()) <= 15 and sum(v for v in seen.values() if v > 1) < 300
+        # similar sets still do, whatever the sample holds of them
+        for size in (40, 90, 150, 400, 1500):
+            for _ in range(30):
+                x = np.unique(new(size))
+                drop = r.integers(0, size * (100 - percent) // 100 + 1)
+                y = np.sort(x[drop:] if r.random() < 0.5 else r.permutation(x)[drop:])
+                some = np.sort(r.permutation(x)[: r.integers(0, size + 1)])
+                known = some, r.integers(3, 9, len(some))
+                if 100 * len(y) >= percent * len(x):
+                    assert np.intersect1d(ngram_join.signatures(x, percent, wide, known), ngram_join.signatures(y, percent, wide, known)).size
+
+
+def test_ngram_join_finds_frequent_shingles(spark):
+    rows = docs(spark, [(i, f"own{i}a own{i}b the common line") for i in range(40)] + [(99, None)]).withColumn("row_key", F.col("doc_id"))
+    x, count = ngram_join.frequent(rows, 3, 41)
+    assert x.tolist() == ngram_join.shingles("the common line", 3).tolist() and count.tolist() == [40]
+    none = ngram_join.frequent(rows.limit(0), 3, 0)
+    assert len(none[0]) == len(none[1]) == 0
+
+
 def test_ngram_join_is_exact_across_tasks(spark):
     r = random.Random(4)
     rows = []
