@@ -15,8 +15,10 @@ similar sets agree on, neither leaves out the last. The sample has no influence
 Signatures travel in sorted blocks. Of the sets of a block that share a signature the first
 alone sends it on, one row for each range of signatures, and the others are hung on that first;
 in the range's task the firsts of all blocks are hung on the first of them. So a signature that
-most sets share comes once a block, and a bucket is a tree of two levels. By a join of the
-levels every set of a bucket is then paired with the bucket's own first. A pair is passed over
+most sets share comes once a block, and a bucket is a tree of two levels. Pairs of either level
+carry the signatures that they share, and by these a block's first hands each of its sets on to
+the firsts of just the buckets that the set is in: every set is paired with the firsts of its
+own buckets, so with no more sets than it has signatures. A pair is passed over
 if the sketches of its sets (a byte for each cell of the domain) differ in more cells than
 similar sets differ in elements; what is left is counted exactly. Where a first one and its
 partners do not all end in one component, sets of different components are held against each
@@ -223,20 +225,23 @@ def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return inorder[new], place
 
 
-def hung(s: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hung(s: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(firsts, their signatures and numbers), (first, other) of each run of equal signatures s of sets numbered r.
 
-    The first of a run is the set with the smallest number; pairs come once.
+    The first of a run is the set with the smallest number; pairs come once, with the number of
+    signatures that each of them shares, and then these signatures in the order of pairs.
     """
     order = np.lexsort((r, s))
     s, r = s[order], r[order]
     del order
     start = np.concatenate([[True], s[1:] != s[:-1]])
     first = r[np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))]
-    other = first != r
-    pairs = np.sort(first[other].astype(np.uint64) << np.uint64(32) | r[other].astype(np.uint64))
-    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
-    return s[start], r[start], np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.int64)
+    # a set that comes from several blocks repeats its signatures
+    other = (first != r) & np.concatenate([[True], start[1:] | (r[1:] != r[:-1])])
+    pairs, on = first[other].astype(np.uint64) << np.uint64(32) | r[other].astype(np.uint64), s[other]
+    order = np.argsort(pairs, kind="stable")
+    pairs, count = np.unique(pairs, return_counts=True)
+    return s[start], r[start], np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.int64), count, on[order]
 
 
 def measured(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -256,7 +261,8 @@ def signed(batches: Iterator[pa.RecordBatch], n: int, percent: int, wide: bool,
 
     who[i] is the place in keys of the set that signed sigs[i]. Equal sets are taken once a
     block, and of those that share a signature in a block only the first sends it on; the others
-    are in pairs with it, in rows of their own that are dealt over all parts.
+    are in pairs with it, in rows of their own that are dealt over all parts: there who has the
+    number of signatures that each pair shares, and sigs has these.
     """
     seen: dict[bytes, int] = {}
     sigs: list[np.ndarray] = []
@@ -266,16 +272,17 @@ def signed(batches: Iterator[pa.RecordBatch], n: int, percent: int, wide: bool,
     def flush() -> pa.RecordBatch:
         keys = np.frombuffer(b"".join(seen), np.uint64).reshape(-1, 2)
         inorder, place = ranked(keys)
-        s, w, pairs = hung(np.concatenate(sigs), place[np.concatenate(who)])
+        s, w, pairs, count, on = hung(np.concatenate(sigs), place[np.concatenate(who)])
         cuts = np.searchsorted((s >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
         rows = []
         for p in np.flatnonzero(np.diff(cuts)):
             a, b = cuts[p], cuts[p + 1]
             used, at = np.unique(w[a:b], return_inverse=True)
             rows.append((int(p), s[a:b].tobytes(), at.astype(np.uint32).tobytes(), inorder[used].tobytes(), b""))
-        begin = int(keys[0, 0])
+        begin, ends = int(keys[0, 0]), np.concatenate([[0], np.cumsum(count)])
         for i in range(0, len(pairs), PAIRS):
-            rows.append(((begin + i // PAIRS) % ranges, b"", b"", b"", inorder[pairs[i : i + PAIRS]].tobytes()))
+            j = min(i + PAIRS, len(pairs))
+            rows.append(((begin + i // PAIRS) % ranges, on[ends[i] : ends[j]].tobytes(), count[i:j].astype(np.uint32).tobytes(), b"", inorder[pairs[i:j]].tobytes()))
         seen.clear()
         sigs.clear()
         who.clear()
@@ -301,18 +308,20 @@ def signed(batches: Iterator[pa.RecordBatch], n: int, percent: int, wide: bool,
 
 
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(top, a, b): sets b hung on a first one a, within a block, or with top of blocks' firsts on the bucket's."""
+    """(top, a, b, sigs): sets b hung on a first one a, within a block, or with top of blocks' firsts on the bucket's, and the signatures that both have."""
 
-    def out(top: bool, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def out(top: bool, pairs: np.ndarray, count: np.ndarray, on: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ends = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
         for i in range(0, len(pairs), LEAVING):
-            p = pairs[i : i + LEAVING]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), top)), binary(p[:, 0]), binary(p[:, 1])], names=["top", "a", "b"])
+            p, e = pairs[i : i + LEAVING], ends[i : i + LEAVING + 1]
+            sigs = pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), pa.array(on[e[0] : e[-1]].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), top)), binary(p[:, 0]), binary(p[:, 1]), sigs], names=["top", "a", "b", "sigs"])
 
     sigs, who, keys, have = [], [], [], 0
     for batch in batches:
         for s, w, k, p in zip(*(batch.column(c) for c in ("sigs", "who", "keys", "pairs")), strict=True):
             if len(p.as_buffer()):
-                yield from out(False, np.frombuffer(p.as_buffer(), np.uint64).reshape(-1, 2, 2))
+                yield from out(False, np.frombuffer(p.as_buffer(), np.uint64).reshape(-1, 2, 2), np.frombuffer(w.as_py(), np.uint32), np.frombuffer(s.as_py(), np.uint64))
             else:
                 sigs.append(np.frombuffer(s.as_py(), np.uint64))
                 who.append(np.frombuffer(w.as_py(), np.uint32) + np.int64(have))
@@ -321,7 +330,8 @@ def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if sigs:
         inorder, place = ranked(np.concatenate(keys))
         keys.clear()
-        yield from out(True, inorder[hung(np.concatenate(sigs), place[np.concatenate(who)])[2]])
+        _, _, pairs, count, on = hung(np.concatenate(sigs), place[np.concatenate(who)])
+        yield from out(True, inorder[pairs], count, on)
 
 
 def near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -494,14 +504,19 @@ def frequent(rows: DataFrame, n: int, n_docs: int) -> tuple[np.ndarray, np.ndarr
 
 
 def starred(rows: DataFrame, n: int, percent: int, wide: bool, total: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(a, b): every set that shares a signature with others, as b, beside the first of their bucket, by keys."""
+    """(a, b): every set that shares a signature with others, as b, beside the first of their bucket, by keys; nothing else."""
     ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE + 1)
     blocks = rows.select("text").mapInArrow(lambda b: signed(b, n, percent, wide, ranges, common), "part int, sigs binary, who binary, keys binary, pairs binary")
-    hung_ = written(blocks.repartitionById(ranges, "part").drop("part").mapInArrow(met, "top boolean, a binary, b binary"), "met")
-    low, top = hung_.where("NOT top").select("a", "b"), hung_.where("top").select("a", "b")
-    # a block's first that hangs on a bucket's first takes its own sets along
-    along = low.distinct().join(top.select(F.col("a").alias("first"), F.col("b").alias("a")).distinct(), "a").where("first <> b").select(F.col("first").alias("a"), "b")
-    return low.unionByName(top).unionByName(along).distinct()
+    hung_ = written(blocks.repartitionById(ranges, "part").drop("part").mapInArrow(met, "top boolean, a binary, b binary, sigs array<bigint>"), "met")
+    top = hung_.where("top").groupBy("a", "b").agg(F.flatten(F.collect_list("sigs")).alias("sigs"))
+    # a signature has one bucket, so a block's first has no more rows above it than signatures
+    above = top.groupBy(F.col("b").alias("a")).agg(F.collect_list(F.struct(F.col("a").alias("first"), "sigs")).alias("above"))
+    low = hung_.where("NOT top").select("a", "b", "sigs").join(above, "a", "left")
+    # what it is itself the bucket's first for stays with it
+    over = F.transform(F.filter("above", lambda x: F.arrays_overlap(x["sigs"], F.col("sigs"))), lambda x: x["first"])
+    own = F.col("above").isNull() | (F.size(F.array_except("sigs", F.flatten("above.sigs"))) > 0)
+    firsts = F.concat(F.when(own, F.array("a")).otherwise(F.array().cast("array<binary>")), F.coalesce(over, F.array().cast("array<binary>")))
+    return low.select(F.explode(firsts).alias("a"), "b").unionByName(top.select("a", "b")).distinct()
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, wide: bool = False) -> DataFrame:

@@ -328,6 +328,21 @@ def test_ngram_join_is_exact_across_tasks(spark):
     assert got == plain_join(rows, 1, 80)
 
 
+def test_sets_are_paired_with_the_firsts_of_their_own_buckets_alone(spark):
+    r = random.Random(5)
+    passages = [[f"p{g}w{i}" for i in range(12)] for g in range(5)]
+    rows = [(i, " ".join([w for p in r.sample(passages, 3) for w in p] + [f"x{r.randrange(30)}" for _ in range(r.randrange(4))])) for i in range(300)]
+    rows += [(300 + i, rows[0][1]) for i in range(60)]
+    buckets = defaultdict(set)
+    for x in {ngram_join.set_key(x): x for x in (ngram_join.shingles(t, 1) for _, t in rows)}.values():
+        for s in ngram_join.signatures(x, 80, False).tolist():
+            buckets[s].add(ngram_join.set_key(x))
+    order = lambda key: tuple(np.frombuffer(key, np.uint64).tolist())
+    exact = {(min(b, key=order), key) for b in buckets.values() for key in b if key != min(b, key=order)}
+    found = ngram_join.starred(docs(spark, rows).repartition(12), 1, 80, False, 1, ngram_join.NONE_COMMON).collect()
+    assert Counter((bytes(p.a), bytes(p.b)) for p in found) == Counter(exact)
+
+
 def test_ngram_join_drops(spark):
     rows = [(3, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "x y z"), (4, None), (5, None)]
     kept = ngram_join.drop_similar(docs(spark, rows))
