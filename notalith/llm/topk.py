@@ -10,7 +10,8 @@ score, and then visits leaves best first: in each round every query goes to its
 boxes, and queries that meet in a box are scored together. A box is passed over if its bound is
 below the query's kth score, or equals it when the box holds only larger ids. Bounds of queries
 on shards are computed in blocks of both; a pair of a query and a shard is shuffled only if the
-shard is open to the query.
+shard is open to the query. Pairs, queries and trees meet by sort-merge joins: pairs take a bit a
+row in a file, and by that size Spark would send millions of them through the driver.
 
 Vectors that are null or hold null or non-finite components take no part. Only vectors of a
 query's own length are its candidates, and no row with the query's id is. Rows that repeat an
@@ -265,6 +266,11 @@ def build(rows: DataFrame, n: int, shard: int) -> DataFrame:
     return written(dealt.select("vec_id", "embedding", "dim", "cell", "part").groupBy("dim", "cell", "part").applyInArrow(shard_tree, shape), "shards")
 
 
+def shuffled(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join of sides that both grow with the input: neither is broadcast, whatever size its files suggest."""
+    return left.join(right.hint("merge"), key, how)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of vectors(vec_id, embedding) for each of queries, of the same columns."""
     usable = lambda df: df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size("embedding") > 0)).select(F.col("vec_id").cast("long"), "embedding")
@@ -282,8 +288,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, shard: int = SHA
 
     def found_in(pairs: DataFrame, known: DataFrame) -> DataFrame:
         """What the queries of pairs(query_id, shard) find in their shards."""
-        left = pairs.join(known, "query_id").select("query_id", "embedding", "block", "kth", "kth_id", "shard")
-        right = shards.select("shard", "tree").join(left.select("shard", F.col("block").alias("asks")).distinct(), "shard").select("shard", "tree", F.col("asks").alias("block"))
+        left = shuffled(pairs, known, "query_id").select("query_id", "embedding", "block", "kth", "kth_id", "shard")
+        right = shuffled(shards.select("shard", "tree"), left.select("shard", F.col("block").alias("asks")).distinct(), "shard").select("shard", "tree", F.col("asks").alias("block"))
         return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(lambda a, b: search_shard(a, b, k), FOUND)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -291,7 +297,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, shard: int = SHA
     home = written(home, "home-shards")
     found = written(found_in(home, asked.withColumn("kth", F.lit(NONE)).withColumn("kth_id", F.lit(0).cast("long"))), "home-found")
     kth = found.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", F.col("score").alias("kth"), F.col("vec_id").alias("kth_id"))
-    known = written(asked.join(home.withColumnRenamed("shard", "home"), "query_id").join(kth, "query_id", "left").fillna({"kth": NONE, "kth_id": 0}), "known")
+    known = shuffled(shuffled(asked, home.withColumnRenamed("shard", "home"), "query_id"), kth, "query_id", "left")
+    known = written(known.fillna({"kth": NONE, "kth_id": 0}), "known")
     pairs = written(opened(known, False).select("query_id", "shard"), "open-shards")
     found = found.unionByName(found_in(pairs, known))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

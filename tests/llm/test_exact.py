@@ -399,6 +399,16 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_sends_no_pairs_through_the_driver(spark):
+    # every query goes to every shard: in files such pairs are a few bytes, in the driver they are not
+    r = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, [float(x) for x in r.normal(size=8)]) for i in range(400)], "vec_id bigint, embedding array<float>")
+    got = topk.top_k(df, df.where("vec_id % 2 = 0"), 5, 20, 50)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2 and "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+    assert got.count() == 200 * 5
+
+
 def test_top_k_bounds_are_tight():
     r = np.random.default_rng(6)
     p = r.integers(-64, 64, (500, 8)).astype(float)
