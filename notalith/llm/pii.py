@@ -93,6 +93,11 @@ def canonical(kind: Column, mention: Column) -> Column:
     return F.when(kind == "email", F.lower(mention)).when(kind == "name", F.regexp_replace(mention, r"\.(?= |$)", "")).when(kind == "ip", mention).otherwise(digits)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value stands in the plan once and is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hmac(message: Column, key: str) -> Column:
     """HMAC-SHA512 of a text, in hexadecimal."""
     k = key.encode()
@@ -103,7 +108,8 @@ def hmac(message: Column, key: str) -> Column:
 
 def stream(kind: Column, canon: Column, draw: Column, key: str) -> Column:
     """512 hexadecimal digits that nothing but the key and the entity decides."""
-    return F.concat(*[hmac(F.concat_ws(SEP, F.lit(str(i)), kind, draw.cast("string"), canon), key) for i in range(4)])
+    blocks = F.array(*[F.lit(str(i)) for i in range(4)])
+    return F.array_join(F.transform(blocks, lambda i: hmac(F.concat_ws(SEP, i, kind, draw.cast("string"), canon), key)), "")
 
 
 def drawn(hexed: Column, i: Column) -> Column:
@@ -124,7 +130,7 @@ def like(c: Column, at: Column) -> Column:
 
 
 def reletter(text: Column, hexed: Column) -> Column:
-    return F.array_join(F.transform(F.split(text, ""), lambda c, i: like(c, drawn(hexed, i))), "")
+    return bound(hexed, lambda h: F.array_join(F.transform(F.split(text, ""), lambda c, i: like(c, drawn(h, i))), ""))
 
 
 def luhn(digits: Column) -> Column:
@@ -148,9 +154,8 @@ def surname(word: Column, draw: Column, key: str) -> Column:
     """For each part of a family's name one of syllables of its script; a syllable more each draw, so there are always more than families in the end."""
 
     def one(part: Column) -> Column:
-        h = stream(F.lit("family"), part, draw, key)
-        made = lambda s: F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), draw + 3), lambda n: chosen(SYLLABLES[s], drawn(h, n))), ""))
-        return F.when(part.rlike("[а-яё]"), made("cyrillic")).otherwise(made("latin"))
+        made = lambda h, s: F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), draw + 3), lambda n: chosen(SYLLABLES[s], drawn(h, n))), ""))
+        return bound(stream(F.lit("family"), part, draw, key), lambda h: F.when(part.rlike("[а-яё]"), made(h, "cyrillic")).otherwise(made(h, "latin")))
 
     return F.array_join(F.transform(F.split(word, "-"), one), "-")
 
@@ -164,8 +169,7 @@ def named(canon: Column, draw: Column, family: Column, key: str) -> Column:
     words = F.split(canon, " ")
     title, last = F.element_at(words, 1), F.size(words) - 1
 
-    def given(word: Column) -> Column:
-        h = stream(F.lit("given"), word, draw, key)
+    def given(word: Column, h: Column) -> Column:
         at = drawn(h, F.lit(0))
         female = F.when(title.isin(*TITLES["f"]), True).when(title.isin(*TITLES["m"]), False).otherwise(drawn(h, F.lit(1)) % 2 == 0)
         pick_ = lambda s, n: F.when(female, chosen(GIVEN["f", s], n)).otherwise(chosen(GIVEN["m", s], n))
@@ -174,28 +178,41 @@ def named(canon: Column, draw: Column, family: Column, key: str) -> Column:
         full = lambda s: F.when(draw > 0, more(s)).otherwise(pick_(s, at))
         return F.when(word.rlike("[а-яё]"), full("cyrillic")).otherwise(full("latin"))
 
-    part = lambda w, i: F.when((i == 0) | w.isin(*PARTICLES), w).when(i == last, family).when(F.char_length(w) == 1, like(w, drawn(stream(F.lit("initial"), w, draw, key), F.lit(0)))).otherwise(given(w))
+    initial = lambda w: bound(drawn(stream(F.lit("initial"), w, draw, key), F.lit(0)), lambda at: like(w, at))
+    other = lambda w: bound(stream(F.lit("given"), w, draw, key), lambda h: given(w, h))
+    part = lambda w, i: F.when((i == 0) | w.isin(*PARTICLES), w).when(i == last, family).when(F.char_length(w) == 1, initial(w)).otherwise(other(w))
     return F.array_join(F.transform(words, part), " ")
 
 
 def replacement(kind: Column, canon: Column, draw: Column, key: str) -> Column:
     """The canonical form of what stands for canon; of a name's family its surname (names themselves: named)."""
-    h = stream(kind, canon, draw, key)
     at = F.instr(canon, "@")
     domain = F.substr(canon, at + 1)
     top = F.regexp_extract(domain, r"\.[^.]+$", 0)
     head = F.regexp_replace(domain, r"\.[^.]+$", "")
-    email = F.concat(reletter(F.substr(canon, F.lit(1), at - 1), h), F.lit("@"), reletter(head, stream(F.lit("domain"), domain, F.lit(0), key)), top)
-    ip = F.array_join(F.transform(F.split(canon, r"\."), lambda o, i: (drawn(h, i) % 254 + 1).cast("string")), ".")
-    new = reletter(canon, h)
-    card = F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(new, F.lit(2)))
-    short = F.substr(card, F.lit(1), F.char_length(card) - 1)
-    check = F.pmod(F.lit(10) - luhn(F.concat(short, F.lit("0"))) % 10, F.lit(10)).cast("string")
-    card = F.when(luhn(canon) % 10 == 0, F.concat(short, check)).otherwise(card)
-    country, body = F.substr(canon, F.lit(1), F.lit(2)), F.substr(new, F.lit(5))
-    digits = F.lpad((98 - iban_rest(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0")
-    iban = F.concat(country, F.when(iban_rest(canon) == 1, digits).otherwise(F.substr(new, F.lit(3), F.lit(2))), body)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "family", surname(canon, draw, key)).otherwise(new)
+
+    def email(h: Column) -> Column:
+        return F.concat(reletter(F.substr(canon, F.lit(1), at - 1), h), F.lit("@"), reletter(head, stream(F.lit("domain"), domain, F.lit(0), key)), top)
+
+    def ip(h: Column) -> Column:
+        return F.array_join(F.transform(F.split(canon, r"\."), lambda o, i: (drawn(h, i) % 254 + 1).cast("string")), ".")
+
+    def card(new: Column) -> Column:
+        whole = F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(new, F.lit(2)))
+        short = F.substr(whole, F.lit(1), F.char_length(whole) - 1)
+        check = F.pmod(F.lit(10) - luhn(F.concat(short, F.lit("0"))) % 10, F.lit(10)).cast("string")
+        return F.when(luhn(canon) % 10 == 0, F.concat(short, check)).otherwise(whole)
+
+    def iban(new: Column) -> Column:
+        country, body = F.substr(canon, F.lit(1), F.lit(2)), F.substr(new, F.lit(5))
+        digits = F.lpad((98 - iban_rest(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0")
+        return F.concat(country, F.when(iban_rest(canon) == 1, digits).otherwise(F.substr(new, F.lit(3), F.lit(2))), body)
+
+    def number(h: Column) -> Column:
+        return bound(reletter(canon, h), lambda new: F.when(kind == "card", card(new)).when(kind == "iban", iban(new)).otherwise(new))
+
+    own = lambda h: F.when(kind == "email", email(h)).when(kind == "ip", ip(h)).otherwise(number(h))
+    return F.when(kind == "family", surname(canon, draw, key)).otherwise(bound(stream(kind, canon, draw, key), own))
 
 
 def laid_out(kind: Column, mention: Column, surrogate: Column) -> Column:

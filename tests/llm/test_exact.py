@@ -593,6 +593,14 @@ def test_more_surnames_than_three_syllables_make(spark):
     assert all(len(x) < 60 and not any(c.isdigit() for c in x) and x.startswith("Mr ") for x in new)
 
 
+def test_streams_stand_in_the_plan_once(spark):
+    """The driver holds, copies and prints plans: no branch or character may bring a copy of the stream it reads."""
+    entities = docs(spark, [(1, "a@b.example.com")]).select(F.lit("email").alias("kind"), F.col("text").alias("canon"))
+    filled = pii.filled(pii.found(docs(spark, [(1, TEXT)]).select(F.struct("*").alias("row"), "text")), None, "key")
+    for df, most in ((filled, 20), (entities.select(pii.replacement(F.col("kind"), F.col("canon"), F.lit(0), "key")), 20)):
+        assert 0 < df._jdf.queryExecution().optimizedPlan().toString().count("sha2(") <= most
+
+
 # packing
 
 
