@@ -122,3 +122,18 @@ def test_answers(spark):
     got = {r.qid: r.answer for r in summaries.answers(q, hits).collect()}
     assert got[1] == "Based on your notes:\n\nAPI tokens expire after a day. [auth.md › Tokens]"
     assert got[2].startswith("Relevant excerpts") and "[auth.md]: Nothing" in got[2] and got[3].startswith("No relevant")
+
+
+def test_terms_are_counted_in_place(spark):
+    """Key phrases, summaries and postings take no shuffle: a text is one row."""
+    d = spark.createDataFrame([(1, "One line of text here.\nAnother line of text there."), (2, None)], "doc_id bigint, text string")
+    posted = lexical.postings(d, {"body": F.col("text")}, "doc_id")
+    for df in (summaries.key_phrases(d), summaries.summaries(d), summaries.analyse(d), posted):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r.chunk_id, r.term): r.tf for r in posted.where("term = 'text'").collect()} == {(1, "text"): 2.0}
+
+
+def test_faulty_counts_what_is_repeated(spark):
+    posted = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 1.0), ("b", 1, -1.0), ("a", 2, 2.0)], "term string, chunk_id bigint, tf double")
+    lens = spark.createDataFrame([(1, 1.0), (3, 1.0)], "chunk_id bigint, len double")
+    assert lexical.faulty(posted, lens).first().asDict() == {"wrong_lengths": 2, "not_positive": 1, "without_length": 1, "repeated": 1}
