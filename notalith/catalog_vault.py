@@ -196,7 +196,8 @@ def rank_sql(rounds: int) -> str:
 @query(rank_sql(10) + " SELECT file, round(rank, 9) AS rank FROM r10")
 def pagerank_fixed(spark, d):
     docs = documents(spark, d)
-    return graph.page_rank(edges(spark, d), docs.select("file"), 10, None).select("file", F.round("rank", 9).alias("rank"))
+    edges = stored(graph.build_graph(docs), "edges")  # of the notes that have been parsed already
+    return graph.page_rank(edges, docs.select("file"), 10, None).select("file", F.round("rank", 9).alias("rank"))
 
 
 @query(LINKS + """, q AS (SELECT k AS qid, file AS seed, 1.0::DOUBLE AS score FROM t WHERE k % 100 = 0), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
