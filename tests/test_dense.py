@@ -63,6 +63,36 @@ def test_probed(spark, tables):
     assert {(r.qid, r.chunk_id): r.score for r in dense.probed(assigned, centroids, q, 150, 2).collect()} == pytest.approx(every)
 
 
+def test_means(spark):
+    """Sums of members, nulls left out, of vectors in several tasks."""
+    rows = [(i, i % 2, [float(i), 1.0 - i]) for i in range(20)] + [(20, 0, [3.0, None])]
+    df = spark.createDataFrame(rows, "chunk_id bigint, cluster int, vec array<float>").repartition(3)
+    want = {}
+    for c in (0, 1):
+        v = [sum(x[i] for _, k, x in rows if k == c and x[i] is not None) for i in (0, 1)]
+        want[c] = [round(x / sum(y * y for y in v) ** 0.5, 12) for x in v]
+    assert {r.cluster: r.vec for r in ivf.means(df).collect()} == want
+
+
+def test_settings_come_back(spark):
+    """Many small notes are packed into a task, and the session's own settings hold after."""
+    from notalith.sources.markdown import packed_files
+
+    names = ("spark.sql.files.openCostInBytes", "spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    was = [spark.conf.get(n) for n in names]
+    with packed_files(spark):
+        assert int(spark.conf.get(names[0])) < 1 << 20 and int(spark.conf.get(names[1])) < 1000
+    assert [spark.conf.get(n) for n in names] == was
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
+def test_notes_are_dealt(spark):
+    """One small file of parts does not make one task parse all notes."""
+    from notalith import catalog_vault
+
+    assert catalog_vault.notes(spark, str(DATA)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 NO_PAIRS = ("knn_exact", "knn_filtered", "knn_batch_best", "knn_semantic_only_negatives", "int8_knn", "redundancy_at_10", "ndcg_mrr_hit_recall", "metrics_by_category", "true_ndcg_recall", "win_tie_loss", "ivf_recall", "ivf_probe_knn")
 
 
